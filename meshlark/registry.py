@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import core
+from .plans import core, events, geometry
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core.Q)
+    return core.Q | geometry.Q | events.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(core.SQL)
+    return core.SQL | geometry.SQL | events.SQL
