@@ -90,10 +90,11 @@ def set_contains_all(spark, sf):
     return mesh.contains(t.set_members(spark, sf), t.CUSTOMER + 7, own)
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END & 2) = 2 AND o_custkey % 2 = 1")
+@query("SELECT o_orderkey AS id FROM orders WHERE (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END & 2) = 2 AND (CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 5 ELSE 3 END & 4) <> 0")
 def status_mask_filter(spark, sf):
-    o = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3).alias("status"))
-    return mesh.status_filter(mesh.status_filter(o, "status", 2, "and").withColumn("odd", F.col("o_custkey") % 2), "odd", 1, "or").select("id")
+    p = F.col("o_orderpriority")
+    o = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3).alias("status"), F.when(p == "1-URGENT", 4).when(p == "2-HIGH", 5).otherwise(3).alias("rush"))
+    return mesh.status_filter(mesh.status_filter(o, "status", 2, "and"), "rush", 4, "or").select("id")
 
 
 @query("SELECT l_orderkey AS id, CAST(round(avg(x), 6) AS DOUBLE) AS x, CAST(round(avg(y), 4) AS DOUBLE) AS y FROM lineitem JOIN (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part) ON l_partkey = p_partkey GROUP BY l_orderkey")
@@ -128,10 +129,11 @@ def adj_up_division(spark, sf):
     return small.join(big, "vid").groupBy("id", "super").agg(F.count("*").alias("k")).where("k = 2").select("id", "super")
 
 
-@query(f"SELECT DISTINCT b.vid FROM {INC} a JOIN {INC} b USING (id) WHERE a.vid < 20")
+@query(f"SELECT DISTINCT b.vid FROM {INC} a JOIN {INC} b USING (id) WHERE a.vid IN (SELECT p_partkey FROM part WHERE p_size = 31)")
 def adj_down_union(spark, sf):
     inc = t.incidence(spark, sf)
-    return adjacency.down(inc, adjacency.up(inc, inc.where("vid < 20").select("vid"), "union"))
+    v = t.table(spark, sf, "part").where("p_size = 31").select(F.col("p_partkey").alias("vid"))
+    return adjacency.down(inc, adjacency.up(inc, v, "union"))
 
 
 @query(f"SELECT vid FROM {INC} WHERE id IN (SELECT id FROM {INC} GROUP BY id HAVING count(*) = 1) GROUP BY vid HAVING count(*) = 1")
@@ -147,12 +149,13 @@ def bridge_adjacency(spark, sf):
     return adjacency.bridge(t.incidence(spark, sf), start, 1, keep_start=False).select("id")
 
 
-@query(f"""WITH inc AS {INC}, l0 AS (SELECT CAST(2 AS BIGINT) AS id), l1 AS (SELECT DISTINCT b.id FROM inc a JOIN l0 USING (id) JOIN inc b ON a.vid = b.vid WHERE b.id NOT IN (SELECT id FROM l0)),
+@query(f"""WITH inc AS {INC}, l0 AS (SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 499000 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)), l1 AS (SELECT DISTINCT b.id FROM inc a JOIN l0 USING (id) JOIN inc b ON a.vid = b.vid WHERE b.id NOT IN (SELECT id FROM l0)),
 l2 AS (SELECT DISTINCT b.id FROM inc a JOIN l1 USING (id) JOIN inc b ON a.vid = b.vid WHERE b.id NOT IN (SELECT id FROM l0) AND b.id NOT IN (SELECT id FROM l1))
 SELECT id, 0 AS layer FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2""")
 def second_adjacency_layers(spark, sf):
-    start = spark.createDataFrame([(4, 2)], "etype tinyint, id bigint")
-    return adjacency.bridge(t.incidence(spark, sf), start, 2).select("id", "layer")
+    inc = t.incidence(spark, sf)
+    dear = t.table(spark, sf, "orders").where("o_totalprice > 499000").select(F.col("o_orderkey").alias("id"))
+    return adjacency.bridge(inc, inc.join(dear, "id", "left_semi"), 2).select("id", "layer")
 
 
 @query(f"SELECT vid, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM {INC} GROUP BY vid")
@@ -222,10 +225,10 @@ def contents_recursive(spark, sf):
 
 
 @query(f"""WITH RECURSIVE link AS (SELECT n_regionkey + {t.REGION} AS parent, n_nationkey + {t.NATION} AS child FROM nation UNION ALL SELECT c_nationkey + {t.NATION}, c_custkey + {t.CUSTOMER} FROM customer),
-walk AS (SELECT parent AS sid, child, 1 AS hop FROM link WHERE parent = {t.REGION + 1} UNION ALL SELECT sid, link.child, hop + 1 FROM walk JOIN link ON walk.child = link.parent WHERE hop < 2)
+walk AS (SELECT parent AS sid, child, 1 AS hop FROM link WHERE parent < {t.NATION} UNION ALL SELECT sid, link.child, hop + 1 FROM walk JOIN link ON walk.child = link.parent WHERE hop < 2)
 SELECT sid, child, hop FROM walk""")
 def children_n_hops(spark, sf):
-    start = spark.createDataFrame([(t.REGION + 1,)], "sid bigint")
+    start = t.table(spark, sf, "region").select((F.col("r_regionkey") + F.lit(t.REGION)).alias("sid"))
     return sets.children(t.links(spark, sf), start, 2)
 
 
@@ -403,18 +406,19 @@ def merge_rewrite(spark, sf):
     return ordered.rewrite(t.elements(spark, sf), m).select("id", F.concat(F.lit("["), F.array_join(F.transform("conn", lambda v: v.cast("string")), ", "), F.lit("]")).alias("conn"))
 
 
-@query(f"SELECT count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT id FROM {INC} WHERE vid < 50) AND o_orderkey IN (SELECT id FROM {INC})")
+@query(f"SELECT count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT id FROM {INC} WHERE vid IN (SELECT p_partkey FROM part WHERE p_size > 45)) AND o_orderkey IN (SELECT id FROM {INC})")
 def delete_cascade(spark, sf):
     """Elements that are left when vertices go."""
     inc = t.incidence(spark, sf)
-    gone = inc.where("vid < 50").select("etype", "id").distinct()
+    v = t.table(spark, sf, "part").where("p_size > 45").select(F.col("p_partkey").alias("vid"))
+    gone = inc.join(v, "vid", "left_semi").select("etype", "id").distinct()
     return inc.select("etype", "id").distinct().join(gone, ["etype", "id"], "left_anti").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS value FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice * 2 ELSE o_totalprice END AS value FROM orders")
 def tag_upsert(spark, sf):
-    o = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), "o_custkey")
-    change = o.where("o_custkey % 5 = 0").select("id", (F.col("value") * 2).alias("value"))
+    o = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), "o_orderpriority")
+    change = o.where("o_orderpriority = '5-LOW'").select("id", (F.col("value") * 2).alias("value"))
     return dml.upsert(o.select("id", "value"), change, ["id"])
 
 
@@ -452,11 +456,9 @@ def part_neighbours(spark, sf):
     return partition.neighbours(p, ["id"])
 
 
-@query(f"WITH inc AS {INC}, home AS (SELECT l_orderkey AS id, min(l_suppkey) AS part_id FROM lineitem GROUP BY 1) SELECT DISTINCT h.part_id, b.id, 1 AS layer FROM home h JOIN inc a ON a.id = h.id JOIN inc b ON a.vid = b.vid JOIN home g ON g.id = b.id WHERE g.part_id <> h.part_id AND h.part_id = 3")
+@query(f"WITH inc AS {INC}, home AS (SELECT l_orderkey AS id, min(l_suppkey) AS part_id FROM lineitem GROUP BY 1) SELECT DISTINCT h.part_id, b.id, 1 AS layer FROM home h JOIN inc a ON a.id = h.id JOIN inc b ON a.vid = b.vid JOIN home g ON g.id = b.id WHERE g.part_id <> h.part_id")
 def ghost_layer(spark, sf):
-    home = t.home_part(spark, sf)
-    own = home.where("part_id = 3")
-    return partition.ghosts(t.incidence(spark, sf), own, 1)
+    return partition.ghosts(t.incidence(spark, sf), t.home_part(spark, sf), 1)
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING min(l_suppkey) IN (1, 4))")
@@ -497,11 +499,11 @@ def within_distance(spark, sf):
     return spatial.within_distance(p, p, 0.03).where("a < b").select("a", "b")
 
 
-@query(f"WITH p AS {_PT} SELECT a, b, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), b.id) AS rank FROM (SELECT * FROM p WHERE id % 100 = 0) a, p b) WHERE rank <= 3")
+@query(f"WITH p AS {_PT} SELECT a, b, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), b.id) AS rank FROM p a, p b) WHERE rank <= 3")
 def nearest_point(spark, sf):
-    """Nearest three of all points, for every point whose id is divisible by 100."""
+    """Nearest three of all points, for every point."""
     p = t.points(spark, sf)
-    return spatial.nearest(p.where("id % 100 = 0"), p, 3).select("a", "b", "rank")
+    return spatial.nearest(p, p, 3).select("a", "b", "rank")
 
 
 @query(f"""WITH p AS {_PT}, c AS (SELECT quantile_disc(x, 0.5) AS mx, quantile_disc(y, 0.5) AS my, quantile_disc(z, 0.5) AS mz, max(x)-min(x) AS wx, max(y)-min(y) AS wy, max(z)-min(z) AS wz FROM p),

@@ -199,16 +199,16 @@ def point_in_volume(spark, sf):
     return solids.inside_by_ray(_probe(spark, sf), _surface(spark), 1.5, 40.0).select("point", "inside")
 
 
-@query(f"SELECT id AS point, {_IN} AS inside FROM {_PROBE} WHERE id % 100 = 0")
+@query(f"SELECT id AS point, {_IN} AS inside FROM {_PROBE}")
 def point_in_volume_angle(spark, sf):
-    """By solid angles, for every point whose id is divisible by 100."""
-    return solids.winding(_probe(spark, sf).where("id % 100 = 0"), _surface(spark)).select("point", "inside")
+    """By solid angles."""
+    return solids.winding(_probe(spark, sf), _surface(spark)).select("point", "inside")
 
 
-@query(f"SELECT id AS ray, round({N[0]} - x, 6) AS t FROM {_PROBE} WHERE {_IN} AND id % 10 = 0")
+@query(f"SELECT id AS ray, round({N[0]} - x, 6) AS t FROM {_PROBE} WHERE {_IN}")
 def ray_fire(spark, sf):
     """Distance from points inside to the wall along +x."""
-    p = _probe(spark, sf).where("id % 10 = 0").where(_IN)
+    p = _probe(spark, sf).where(_IN)
     rays = p.select(F.col("id").alias("ray"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *[F.lit(d).alias(f"d{c}") for c, d in zip("xyz", (1.0, 0.0, 0.0), strict=True)])
     return solids.fire(rays, _surface(spark), 1.5, 15.0).select("ray", F.round("t", 6).alias("t"))
 
