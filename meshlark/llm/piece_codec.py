@@ -13,11 +13,14 @@ the text itself, so decoding gives back every text exactly.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,16 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a U+2581 of the text; a lone surrogate is in no valid text.
 LITERAL = "\udc81"
-#: Units a worker remembers.
-CACHE = 200_000
+#: Units that a generation of a worker's memory has; the last full one is kept beside it.
+CACHE = 150_000
 #: Longest unit that is remembered.
 SHORT = 64
 
 
+_first = itemgetter(0)
+_loss = itemgetter(2)
+
+
 class Codec:
     """Vocabulary and search; picklable, and lives as long as its worker when broadcast."""
 
@@ -44,6 +51,10 @@ class Codec:
         self.byte_score = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - 10.0
         self.whole = any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.cache: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        # beginnings of pieces that aren't pieces: a stretch that is in neither leads no further
+        self.table: dict[str, tuple | bool] = {p[:k]: False for p in pieces for k in range(1, len(p))}
+        self.table |= {p: ((i,), s) for p, (i, s) in pieces.items()}
 
     @classmethod
     def load(cls, path: str = MODEL, n: int = 3) -> Codec:
@@ -66,54 +77,69 @@ class Codec:
 
     def edges(self, unit: str, i: int) -> list[tuple[int, tuple[int, ...], float]]:
         """(end, ids, score) of the pieces from position i."""
-        out = []
+        out, get = [], self.table.get
         for j in range(i + 1, min(len(unit), i + self.longest) + 1):
-            if (p := self.pieces.get(unit[i:j])) is not None:
-                out.append((j, (p[0],), p[1]))
+            p = get(unit[i:j])
+            if p:
+                out.append((j, *p))
+            elif p is None:
+                break
         if unit[i] not in self.pieces:
             raw = (SPACE if unit[i] == LITERAL else unit[i]).encode()
-            out.append((i + 1, tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)))
+            out.append((i + 1, tuple([self.byte_ids[b] for b in raw]), self.byte_score * len(raw)))
         return out
 
     def search(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids), best first; equal scores in the order of discovery."""
+        """The n best (score, ids), best first; equal scores in the order of discovery.
+
+        A hypothesis is a segmentation of the unit's end from a position on; with the Viterbi score up to
+        there it has the exact score of its best completion.  So the best edge backwards keeps a hypothesis best, and is
+        followed at once; the others wait, and no more wait than can still be among the n best.
+        """
         size = len(unit)
-        best = [0.0] + [-float("inf")] * size
-        back: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(size + 1)]
+        best = [0.0] + [-math.inf] * size
+        back: list[list[tuple]] = [[] for _ in range(size + 1)]
         for i in range(size):
+            to_here = best[i]
             for j, ids, s in self.edges(unit, i):
-                back[j].append((i, ids, s))
-                if best[i] + s > best[j]:
-                    best[j] = best[i] + s
-        if n == 1 or size > 4096:  # follow the best edges; a list of a longer unit's N best stays at one
-            out, j = [], size
+                f = to_here + s
+                back[j].append((f, i, ids, s))
+                if f > best[j]:
+                    best[j] = f
+        done: list[tuple[float, tuple[int, ...]]] = []
+        waiting: list[tuple] = []
+        tick = 0
+        j, g, tail = size, 0.0, None
+        while True:
+            room = n - len(done) - 1
             while j:
-                i, ids, _ = max(back[j], key=lambda e: best[e[0]] + e[2])
-                out.append(ids)
-                j = i
-            return [(best[size], tuple(chain.from_iterable(reversed(out))))]
-        tick, done = count(), []
-        agenda: list[tuple[float, int, int, float, tuple | None]] = [(-best[size], next(tick), size, 0.0, None)]
-        while agenda and len(done) < n:
-            f, _, j, g, tail = heapq.heappop(agenda)
-            if j == 0:
-                ids: list[int] = []
-                while tail is not None:
-                    ids += tail[0]
-                    tail = tail[1]
-                done.append((g, tuple(ids)))
-                continue
-            for i, own, s in back[j]:
-                heapq.heappush(agenda, (-(best[i] + s + g), next(tick), i, g + s, (own, tail)))
-        return done
-
-    def unit(self, u: str) -> tuple[tuple[int, ...], float, float, list]:
-        """(ids, score, loss of the second best, the list) of a unit."""
-        got = self.search(u, self.n)
-        rec = (got[0][1], got[0][0], got[0][0] - got[1][0] if len(got) > 1 else float("inf"), got)
+                edges = back[j]
+                top = max(edges, key=_first) if len(edges) > 1 else edges[0]
+                if room and len(edges) > 1:
+                    for e in edges:
+                        if e is not top and (len(waiting) < room or e[0] + g > -waiting[-1][0]):
+                            tick += 1
+                            bisect.insort(waiting, (-(e[0] + g), tick, e[1], g + e[3], (e[2], tail)))
+                            del waiting[room:]
+                g, tail, j = g + top[3], (top[2], tail), top[1]
+            ids: list[int] = []
+            while tail is not None:
+                ids += tail[0]
+                tail = tail[1]
+            done.append((g, tuple(ids)))
+            if len(done) == n or not waiting:
+                return done
+            _, _, j, g, tail = waiting.pop(0)
+
+    def unit(self, u: str) -> tuple[tuple[int, ...], float, float, tuple[float, ...]]:
+        """(ids, score, loss of the second best, scores of the n best) of a unit."""
+        rec = self.older.get(u)
+        if rec is None:
+            got = self.search(u, self.n)
+            rec = (got[0][1], got[0][0], got[0][0] - got[1][0] if len(got) > 1 else math.inf, tuple([x for x, _ in got]))
         if len(u) <= SHORT:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[u] = rec
         return rec
 
@@ -131,8 +157,8 @@ class Codec:
         ids = np.fromiter(chain.from_iterable(r[0] for r in recs), np.int32)
         top = [sum(r[1] for r in recs)]
         # only the units that lose least can differ from the best in one of the N best
-        for r in heapq.nsmallest(self.n - 1, recs, key=lambda r: r[2]):
-            top = heapq.nlargest(self.n, (t - (r[1] - s) for t in top for s, _ in r[3]))
+        for r in heapq.nsmallest(self.n - 1, recs, key=_loss):
+            top = heapq.nlargest(self.n, [t - (r[1] - s) for t in top for s in r[3]])
         return ids, top
 
     def decode(self, ids: np.ndarray) -> str:
