@@ -123,3 +123,16 @@ def remap(overlap: DataFrame, values: DataFrame) -> DataFrame:
     """(id, value) on the blue faces: area-weighted mean of the red values (id, value); the integral is kept."""
     j = overlap.join(values.select(F.col("id").alias("red"), "value"), "red")
     return j.groupBy(F.col("blue").alias("id")).agg((F.sum(F.col("area") * F.col("value")) / F.sum("area")).alias("value"))
+
+
+def advect(element: DataFrame, vertex: DataFrame, values: DataFrame, t: float, dt: float) -> DataFrame:
+    """(id, value): one conservative step of the deforming flow on the unit sphere.
+
+    Vertices are traced back over dt; each departure face takes the area-weighted mean of what it covers.
+    """
+    from ..functions import sphere
+
+    lon, lat, _ = sphere.to_sphere((F.col("x"), F.col("y"), F.col("z")))
+    lon, lat = sphere.departure(lon, lat, t, dt)
+    back = vertex.select("id", *[c.alias(n) for c, n in zip(sphere.to_cartesian(lon, lat), "xyz", strict=True)])
+    return remap(intersect(element, vertex, element, back, sphere=True), values)

@@ -524,3 +524,33 @@ def morton_keys(spark, sf):
 def grid_index_stats(spark, sf):
     s = spatial.tree_stats(t.points(spark, sf), 0.1)
     return s.select("leaves", "least", F.round("mean", 6).alias("mean"), F.round("rms", 6).alias("rms"), "greatest")
+
+
+# --- relations -----------------------------------------------------------
+
+
+@query("SELECT c_custkey AS a, s_suppkey AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_mktsegment = 'MACHINERY'")
+def infer_relations(spark, sf):
+    """Entities of two models that have the same tag."""
+    from ..operators import relations
+
+    c = t.table(spark, sf, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    s = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    return relations.infer(c, s, ["nation"])
+
+
+@query("SELECT 'vertex' AS \"table\", count(*) AS rows, count(*) * 32 AS bytes FROM part UNION ALL SELECT 'element', count(DISTINCT l_orderkey), CAST(count(*) * 8 + count(DISTINCT l_orderkey) * 9 AS BIGINT) FROM lineitem UNION ALL SELECT 'member', count(*), count(*) * 21 FROM (SELECT 1 FROM nation UNION ALL SELECT 1 FROM customer UNION ALL SELECT 1 FROM orders)")
+def storage_estimate(spark, sf):
+    from ..operators import relations
+
+    m = mesh.Mesh.build(t.vertices(spark, sf), t.elements(spark, sf), member=t.set_members(spark, sf))
+    return relations.storage(m)
+
+
+@query('SELECT p_partkey AS id, CAST(sum(new) OVER (ORDER BY p_retailprice, p_partkey) AS BIGINT) AS "group" FROM (SELECT *, CASE WHEN p_retailprice - lag(p_retailprice) OVER (ORDER BY p_retailprice, p_partkey) <= 0.05 THEN 0 ELSE 1 END AS new FROM part)')
+def tolerance_sort(spark, sf):
+    """Values sorted, those within a tolerance of their neighbour together."""
+    from ..operators import relations
+
+    p = t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
+    return relations.tolerance_groups(p, "p_retailprice", 0.05).select("id", "group")
