@@ -75,19 +75,38 @@ class Codec:
                 names.append(p.replace(SPACE, " ").encode())
         return cls(pieces, byte_ids, names, n)
 
+    def spell(self, c: str) -> tuple[tuple[int, ...], float]:
+        """(ids, score) of a character in byte pieces."""
+        raw = (SPACE if c == LITERAL else c).encode()
+        return tuple([self.byte_ids[b] for b in raw]), self.byte_score * len(raw)
+
     def edges(self, unit: str, i: int) -> list[tuple[int, tuple[int, ...], float]]:
-        """(end, ids, score) of the pieces from position i."""
-        out, get = [], self.table.get
-        for j in range(i + 1, min(len(unit), i + self.longest) + 1):
-            p = get(unit[i:j])
-            if p:
-                out.append((j, *p))
-            elif p is None:
-                break
-        if unit[i] not in self.pieces:
-            raw = (SPACE if unit[i] == LITERAL else unit[i]).encode()
-            out.append((i + 1, tuple([self.byte_ids[b] for b in raw]), self.byte_score * len(raw)))
-        return out
+        """(end, ids, score) of all that leads on from position i."""
+        back = self.lattice(unit)[1]
+        return [(j, *e[2]) for j in range(i + 1, len(unit) + 1) for e in back[j] if e[1] == i]
+
+    def lattice(self, unit: str) -> tuple[list[float], list[list[tuple]]]:
+        """Viterbi scores of all positions, and the edges (score with the best way there, start, (ids, own score)) into each."""
+        size, get, pieces, longest = len(unit), self.table.get, self.pieces, self.longest
+        best = [0.0] + [-math.inf] * size
+        back: list[list[tuple]] = [[] for _ in range(size + 1)]
+        for i in range(size):
+            to_here = best[i]
+            if unit[i] not in pieces:
+                p = self.spell(unit[i])
+                back[i + 1].append((to_here + p[1], i, p))
+                if to_here + p[1] > best[i + 1]:
+                    best[i + 1] = to_here + p[1]
+            for j in range(i + 1, min(size, i + longest) + 1):
+                p = get(unit[i:j])
+                if p:
+                    f = to_here + p[1]
+                    back[j].append((f, i, p))
+                    if f > best[j]:
+                        best[j] = f
+                elif p is None:
+                    break
+        return best, back
 
     def search(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids), best first; equal scores in the order of discovery.
@@ -96,16 +115,7 @@ class Codec:
         there it has the exact score of its best completion.  So the best edge backwards keeps a hypothesis best, and is
         followed at once; the others wait, and no more wait than can still be among the n best.
         """
-        size = len(unit)
-        best = [0.0] + [-math.inf] * size
-        back: list[list[tuple]] = [[] for _ in range(size + 1)]
-        for i in range(size):
-            to_here = best[i]
-            for j, ids, s in self.edges(unit, i):
-                f = to_here + s
-                back[j].append((f, i, ids, s))
-                if f > best[j]:
-                    best[j] = f
+        size, back = len(unit), self.lattice(unit)[1]
         done: list[tuple[float, tuple[int, ...]]] = []
         waiting: list[tuple] = []
         tick = 0
@@ -119,9 +129,10 @@ class Codec:
                     for e in edges:
                         if e is not top and (len(waiting) < room or e[0] + g > -waiting[-1][0]):
                             tick += 1
-                            bisect.insort(waiting, (-(e[0] + g), tick, e[1], g + e[3], (e[2], tail)))
+                            bisect.insort(waiting, (-(e[0] + g), tick, e[1], g + e[2][1], (e[2][0], tail)))
                             del waiting[room:]
-                g, tail, j = g + top[3], (top[2], tail), top[1]
+                p = top[2]
+                g, tail, j = g + p[1], (p[0], tail), top[1]
             ids: list[int] = []
             while tail is not None:
                 ids += tail[0]
