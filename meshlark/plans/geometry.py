@@ -373,3 +373,12 @@ def boundary_kinds(spark, sf):
     k = adjacency.boundary_class(m.element, m.vertex).groupBy("kind").agg(F.count("*").alias("k"))
     share = F.when(F.col("kind") == "boundary", F.col("k") / (2 * (N[0] + N[1])) * 2).otherwise(F.col("k") / (2 * N[0] * N[1] - N[0] - N[1]))
     return k.select("kind", share.cast("bigint").alias("n"))
+
+
+@query("SELECT p_partkey AS id, round(CASE WHEN s <= 1 THEN s * s / 2 WHEN s < 2 THEN 1 - (2 - s) * (2 - s) / 2 ELSE 1 END, 9) AS volume FROM (SELECT p_partkey, p_size / 23.0::DOUBLE AS s FROM part)")
+def cut_cells(spark, sf):
+    """Unit cells cut by slanted planes."""
+    from ..functions import polyhedra
+
+    p = t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), *[F.lit(x).alias(f"{c}{m}") for c in "xyz" for m, x in (("min", 0.0), ("max", 1.0))], F.lit(1.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0.0).alias("c"), (-F.col("p_size") / 23.0).alias("d"))
+    return polyhedra.cut_boxes(p).select("id", F.round("volume", 9).alias("volume"))

@@ -51,3 +51,24 @@ def test_tolerance_groups(spark):
     assert list(got[x] for x in sorted(got)) == [1, 1, 1, 2, 3, 3, 4]
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
+
+
+def test_polyhedra():
+    import numpy as np
+
+    from meshlark.functions import polyhedra as p
+
+    r = np.random.default_rng(6)
+    points = r.uniform(0, 1, (20_000, 3))
+    for _ in range(20):
+        faces = p.box(np.zeros(3), np.ones(3))
+        planes = [(r.standard_normal(3), r.uniform(-0.6, 0.6)) for _ in range(3)]
+        inside = np.ones(len(points), bool)
+        for n, d in planes:
+            faces = p.cut(faces, n, d)
+            inside &= points @ n + d <= 0
+        assert p.volume(faces) == pytest.approx(inside.mean(), abs=0.02)
+        for q in points[:30]:
+            assert p.contains(faces, q) == all(q @ n + d <= 0 for n, d in planes)
+    whole = p.box(np.zeros(3), np.ones(3))
+    assert p.volume(p.cut(whole, np.array([1.0, 0, 0]), -1.0)) == pytest.approx(1) and p.cut(whole, np.array([1.0, 0, 0]), 0.5) == []
