@@ -18,8 +18,8 @@ import hashlib
 import heapq
 import math
 import re
+import struct
 from collections.abc import Iterator
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -33,13 +33,12 @@ SPACE = "▁"
 #: Stands for a U+2581 of the text; a lone surrogate is in no valid text.
 LITERAL = "\udc81"
 #: Units that a generation of a worker's memory has; the last full one is kept beside it.
-CACHE = 150_000
+CACHE = 250_000
 #: Longest unit that is remembered.
 SHORT = 64
 
 
 _first = itemgetter(0)
-_loss = itemgetter(2)
 
 
 class Codec:
@@ -52,9 +51,14 @@ class Codec:
         self.whole = any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.cache: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
-        # beginnings of pieces that aren't pieces: a stretch that is in neither leads no further
-        self.table: dict[str, tuple | bool] = {p[:k]: False for p in pieces for k in range(1, len(p))}
-        self.table |= {p: ((i,), s) for p, (i, s) in pieces.items()}
+        # letter by letter: (what leads on, piece that ends here or None)
+        self.trie: dict[str, list] = {}
+        for p, (i, s) in pieces.items():
+            kids, node = self.trie, None
+            for c in p:
+                node = kids.setdefault(c, [{}, None])
+                kids = node[0]
+            node[1] = ((i,), s)
 
     @classmethod
     def load(cls, path: str = MODEL, n: int = 3) -> Codec:
@@ -87,7 +91,7 @@ class Codec:
 
     def lattice(self, unit: str) -> tuple[list[float], list[list[tuple]]]:
         """Viterbi scores of all positions, and the edges (score with the best way there, start, (ids, own score)) into each."""
-        size, get, pieces, longest = len(unit), self.table.get, self.pieces, self.longest
+        size, pieces, trie, longest = len(unit), self.pieces, self.trie, self.longest
         best = [0.0] + [-math.inf] * size
         back: list[list[tuple]] = [[] for _ in range(size + 1)]
         for i in range(size):
@@ -97,15 +101,18 @@ class Codec:
                 back[i + 1].append((to_here + p[1], i, p))
                 if to_here + p[1] > best[i + 1]:
                     best[i + 1] = to_here + p[1]
-            for j in range(i + 1, min(size, i + longest) + 1):
-                p = get(unit[i:j])
-                if p:
+            kids, j = trie, i
+            for c in unit[i : i + longest]:
+                node = kids.get(c)
+                if node is None:
+                    break
+                kids, p = node
+                j += 1
+                if p is not None:
                     f = to_here + p[1]
                     back[j].append((f, i, p))
                     if f > best[j]:
                         best[j] = f
-                elif p is None:
-                    break
         return best, back
 
     def search(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -142,12 +149,27 @@ class Codec:
                 return done
             _, _, j, g, tail = waiting.pop(0)
 
-    def unit(self, u: str) -> tuple[tuple[int, ...], float, float, tuple[float, ...]]:
-        """(ids, score, loss of the second best, scores of the n best) of a unit."""
+    def unit(self, u: str) -> tuple[bytes, float, float]:
+        """(ids as int32, best score, loss of the second best) of a unit.
+
+        Leaving the best path at a position costs the difference of the two best edges into it.
+        """
         rec = self.older.get(u)
         if rec is None:
-            got = self.search(u, self.n)
-            rec = (got[0][1], got[0][0], got[0][0] - got[1][0] if len(got) > 1 else math.inf, tuple([x for x, _ in got]))
+            best, back = self.lattice(u)
+            out, j, loss = [], len(u), math.inf
+            while j:
+                edges = back[j]
+                top = edges[0]
+                if len(edges) > 1:
+                    top = max(edges, key=_first)
+                    for e in edges:
+                        if e is not top and top[0] - e[0] < loss:
+                            loss = top[0] - e[0]
+                out.append(top[2][0])
+                j = top[1]
+            ids = [i for p in reversed(out) for i in p]
+            rec = (struct.pack(f"<{len(ids)}i", *ids), best[-1], loss)
         if len(u) <= SHORT:
             if len(self.cache) >= CACHE:
                 self.older, self.cache = self.cache, {}
@@ -163,13 +185,14 @@ class Codec:
         """Ids of the best segmentation, and the scores of the N best."""
         if not text:
             return np.empty(0, np.int32), [0.0]
-        get, slow = self.cache.get, self.unit
-        recs = [get(u) or slow(u) for u in self.units(text)]
-        ids = np.fromiter(chain.from_iterable(r[0] for r in recs), np.int32)
-        top = [sum(r[1] for r in recs)]
+        get, slow, units = self.cache.get, self.unit, self.units(text)
+        recs = [get(u) or slow(u) for u in units]
+        ids = np.frombuffer(b"".join([r[0] for r in recs]), "<i4")
+        top, loss = [sum([r[1] for r in recs])], [r[2] for r in recs]
         # only the units that lose least can differ from the best in one of the N best
-        for r in heapq.nsmallest(self.n - 1, recs, key=_loss):
-            top = heapq.nlargest(self.n, [t - (r[1] - s) for t in top for s in r[3]])
+        for k in heapq.nsmallest(self.n - 1, range(len(loss)), key=loss.__getitem__):
+            if loss[k] < math.inf:
+                top = heapq.nlargest(self.n, [t - (recs[k][1] - s) for t in top for s, _ in self.search(units[k], self.n)])
         return ids, top
 
     def decode(self, ids: np.ndarray) -> str:
