@@ -149,6 +149,45 @@ class Codec:
                 return done
             _, _, j, g, tail = waiting.pop(0)
 
+    def viterbi(self, unit: str) -> tuple[bytes, float, float]:
+        """The forward pass of :meth:`lattice` with the best and second-best way into each position only."""
+        size, pieces, trie, longest = len(unit), self.pieces, self.trie, self.longest
+        best, second = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
+        best[0] = 0.0
+        way: list[tuple] = [()] * (size + 1)
+        for i in range(size):
+            to_here = best[i]
+            if unit[i] not in pieces:
+                p, j = self.spell(unit[i]), i + 1
+                f = to_here + p[1]
+                if f > best[j]:
+                    second[j], best[j], way[j] = best[j], f, (i, p)
+                elif f > second[j]:
+                    second[j] = f
+            kids, j = trie, i
+            for c in unit[i : i + longest]:
+                node = kids.get(c)
+                if node is None:
+                    break
+                kids, p = node
+                j += 1
+                if p is not None:
+                    f = to_here + p[1]
+                    if f > best[j]:
+                        second[j] = best[j]
+                        best[j] = f
+                        way[j] = (i, p)
+                    elif f > second[j]:
+                        second[j] = f
+        out, j, loss = [], size, math.inf
+        while j:
+            if best[j] - second[j] < loss:
+                loss = best[j] - second[j]
+            j, p = way[j]
+            out.append(p[0])
+        ids = [i for p in reversed(out) for i in p]
+        return struct.pack(f"<{len(ids)}i", *ids), best[-1], loss
+
     def unit(self, u: str) -> tuple[bytes, float, float]:
         """(ids as int32, best score, loss of the second best) of a unit.
 
@@ -156,20 +195,7 @@ class Codec:
         """
         rec = self.older.get(u)
         if rec is None:
-            best, back = self.lattice(u)
-            out, j, loss = [], len(u), math.inf
-            while j:
-                edges = back[j]
-                top = edges[0]
-                if len(edges) > 1:
-                    top = max(edges, key=_first)
-                    for e in edges:
-                        if e is not top and top[0] - e[0] < loss:
-                            loss = top[0] - e[0]
-                out.append(top[2][0])
-                j = top[1]
-            ids = [i for p in reversed(out) for i in p]
-            rec = (struct.pack(f"<{len(ids)}i", *ids), best[-1], loss)
+            rec = self.viterbi(u)
         if len(u) <= SHORT:
             if len(self.cache) >= CACHE:
                 self.older, self.cache = self.cache, {}
