@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what a stage has read is deleted once the next is written."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")  # noqa: SLF001
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)  # noqa: SLF001
     return docs
