@@ -61,7 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = "list_filter(regexp_split_to_array(" + _LOW + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(" + _LOW + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 DECONTAMINATION = f"""
 WITH doc AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
