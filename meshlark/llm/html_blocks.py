@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 192, 48, 8, 20
 DIM = PATH_DIM + WORD_DIM + FIGURES
 PAGES, EPOCHS = 900, 9
-#: Words of a block that are hashed into its vector; its text is kept whole.
-HASHED = 64
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -172,7 +170,7 @@ def vectors(blocks: list[Block], slots: _Slots | None = None) -> np.ndarray:
         if path is None:
             path = paths[b.path] = path_slots(b.path)
         x[k, path] = 1
-        words = b.text.lower().split(None, HASHED)[:HASHED]
+        words = b.text.lower().split()
         base = k * WORD_DIM
         cells += [base + slots[w] for w in words]
         scale[k] = 1 / max(4, len(words))

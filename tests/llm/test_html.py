@@ -52,6 +52,13 @@ def test_gradients():
         assert (up - down) / 2e-2 == pytest.approx(g[name].reshape(-1)[k], rel=0.05, abs=1e-4), name
 
 
+def test_all_words_of_a_block_count():
+    first, later = [f"a{k}" for k in range(64)], [f"b{k}" for k in range(200)]
+    x = H.vectors(H.leaf_blocks(f"<p>{' '.join(first + later)}</p><p>{' '.join(first + later[::-1])}</p><p>{' '.join(first)}</p>"))[:, H.PATH_DIM : H.PATH_DIM + H.WORD_DIM]
+    want = np.bincount([H._slot(w, H.WORD_DIM) for w in first + later], minlength=H.WORD_DIM) / 264
+    assert np.allclose(x[0], want) and np.allclose(x[1], want) and not np.allclose(x[2], want)
+
+
 def test_unseen_pages():
     net = H.trained()
     right = total = 0
