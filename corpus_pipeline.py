@@ -38,9 +38,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as piece ids, with the best score and whether decoding gives the text back."""
+    """The documents as piece ids, with the other N best and all scores, and whether decoding gives the text back."""
     d = piece_codec.encode(docs)
-    return d.select("doc_id", "lang", "source", "n_pieces", "piece_ids", F.col("scores")[0].alias("best_score"), "ids_sha256", "round_trip")
+    return d.select("doc_id", "lang", "source", "n_pieces", "piece_ids", F.col("scores")[0].alias("best_score"), "ids_sha256", "round_trip", "scores", "other_ids")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("pieces", pieces)]

@@ -149,53 +149,34 @@ class Codec:
                 return done
             _, _, j, g, tail = waiting.pop(0)
 
-    def viterbi(self, unit: str) -> tuple[bytes, float, float]:
-        """The forward pass of :meth:`lattice` with the best and second-best way into each position only."""
-        size, pieces, trie, longest = len(unit), self.pieces, self.trie, self.longest
-        best, second = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
-        best[0] = 0.0
-        way: list[tuple] = [()] * (size + 1)
-        for i in range(size):
-            to_here = best[i]
-            if unit[i] not in pieces:
-                p, j = self.spell(unit[i]), i + 1
-                f = to_here + p[1]
-                if f > best[j]:
-                    second[j], best[j], way[j] = best[j], f, (i, p)
-                elif f > second[j]:
-                    second[j] = f
-            kids, j = trie, i
-            for c in unit[i : i + longest]:
-                node = kids.get(c)
-                if node is None:
-                    break
-                kids, p = node
-                j += 1
-                if p is not None:
-                    f = to_here + p[1]
-                    if f > best[j]:
-                        second[j] = best[j]
-                        best[j] = f
-                        way[j] = (i, p)
-                    elif f > second[j]:
-                        second[j] = f
-        out, j, loss = [], size, math.inf
+    def first(self, unit: str) -> tuple[bytes, float, float]:
+        """The first goal of :meth:`search` (ids as int32, score), and by how much the best hypothesis then waiting scores less."""
+        back = self.lattice(unit)[1]
+        out, j, g, loss = [], len(unit), 0.0, math.inf
         while j:
-            if best[j] - second[j] < loss:
-                loss = best[j] - second[j]
-            j, p = way[j]
+            edges = back[j]
+            top = edges[0]
+            if len(edges) > 1:
+                other = -math.inf
+                for e in edges[1:]:
+                    if e[0] > top[0]:
+                        other, top = top[0], e
+                    elif e[0] > other:
+                        other = e[0]
+                if top[0] - other < loss:
+                    loss = top[0] - other
+            p = top[2]
+            g += p[1]
+            j = top[1]
             out.append(p[0])
         ids = [i for p in reversed(out) for i in p]
-        return struct.pack(f"<{len(ids)}i", *ids), best[-1], loss
+        return struct.pack(f"<{len(ids)}i", *ids), g, loss
 
     def unit(self, u: str) -> tuple[bytes, float, float]:
-        """(ids as int32, best score, loss of the second best) of a unit.
-
-        Leaving the best path at a position costs the difference of the two best edges into it.
-        """
+        """(ids as int32, best score, loss of the second best) of a unit."""
         rec = self.older.get(u)
         if rec is None:
-            rec = self.viterbi(u)
+            rec = self.first(u)
         if len(u) <= SHORT:
             if len(self.cache) >= CACHE:
                 self.older, self.cache = self.cache, {}
@@ -207,19 +188,32 @@ class Codec:
         s = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
         return [s] if self.whole else re.findall(f"{SPACE}+[^{SPACE}]*", s)
 
-    def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
-        """Ids of the best segmentation, and the scores of the N best."""
+    def nbest(self, text: str) -> tuple[list[np.ndarray], list[float]]:
+        """Ids and scores of the N best segmentations, best first; fewer if the text has no more."""
         if not text:
-            return np.empty(0, np.int32), [0.0]
+            return [np.empty(0, np.int32)], [0.0]
         get, slow, units = self.cache.get, self.unit, self.units(text)
         recs = [get(u) or slow(u) for u in units]
-        ids = np.frombuffer(b"".join([r[0] for r in recs]), "<i4")
-        top, loss = [sum([r[1] for r in recs])], [r[2] for r in recs]
+        raw, loss = [r[0] for r in recs], [r[2] for r in recs]
+        top: list[tuple[float, tuple]] = [(sum([r[1] for r in recs]), ())]  # score, and (unit, ids) where it leaves the best
         # only the units that lose least can differ from the best in one of the N best
         for k in heapq.nsmallest(self.n - 1, range(len(loss)), key=loss.__getitem__):
             if loss[k] < math.inf:
-                top = heapq.nlargest(self.n, [t - (recs[k][1] - s) for t in top for s, _ in self.search(units[k], self.n)])
-        return ids, top
+                (best, _), *more = self.search(units[k], self.n)
+                top += [(t - (best - s), (*c, (k, ids))) for t, c in top for s, ids in more]
+                top = heapq.nlargest(self.n, top, key=_first)
+        out = []
+        for _, changes in top:
+            own = raw.copy() if changes else raw
+            for k, ids in changes:
+                own[k] = struct.pack(f"<{len(ids)}i", *ids)
+            out.append(np.frombuffer(b"".join(own), "<i4"))
+        return out, [t for t, _ in top]
+
+    def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
+        """Ids of the best segmentation, and the scores of the N best."""
+        found, top = self.nbest(text)
+        return found[0], top
 
     def decode(self, ids: np.ndarray) -> str:
         """Inverse of :meth:`encode`."""
@@ -229,32 +223,40 @@ class Codec:
 
 
 def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, n: int = 3) -> DataFrame:
-    """All columns with piece_ids (array<int>), n_pieces, scores (the N best, best first), ids_sha256 and round_trip.
+    """All columns with piece_ids (array<int>), n_pieces, scores (the N best, best first), ids_sha256, round_trip, other_ids and other_sha256.
 
-    round_trip: whether decoding the ids gives back the text.  Null and empty texts have no
+    other_ids and other_sha256: ids of the second best to the N-th, and their digests.
+    round_trip: whether decoding the ids, those of all N, gives back the text.  Null and empty texts have no
     pieces, score 0, and come back as empty.  Repeated rows each give a row; a column with an added name gives way.
     """
-    added = ["piece_ids", "n_pieces", "scores", "ids_sha256", "round_trip"]
+    added = ["piece_ids", "n_pieces", "scores", "ids_sha256", "round_trip", "other_ids", "other_sha256"]
     df = df.select(*[c for c in df.columns if c not in added or c == text_col])
     at = df.columns.index(text_col)
     bc = df.sparkSession.sparkContext.broadcast(Codec.load(model_path, n))
+    sha = lambda x: hashlib.sha256(x.astype("<i4").tobytes()).hexdigest()
+
+    def lists(ids: list[np.ndarray]) -> pa.ListArray:
+        off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bc.value
-        for b in batches:
-            ids, scores, digests, same = [], [], [], []
+        for b in (whole.slice(s, 512) for whole in batches for s in range(0, whole.num_rows, 512)):
+            ids, scores, digests, same, others, per_row, other_digests = [], [], [], [], [], [0], []
             for t in b.column(at).to_pylist():
-                got, top = codec.encode(t or "")
+                (got, *more), top = codec.nbest(t or "")
                 ids.append(got)
                 scores.append(top)
-                digests.append(hashlib.sha256(got.astype("<i4").tobytes()).hexdigest())
-                same.append(codec.decode(got) == (t or ""))
-            off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
-            cols = [lists, pa.array([len(x) for x in ids], pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+                digests.append(sha(got))
+                same.append(all(codec.decode(x) == (t or "") for x in (got, *more)))
+                others += more
+                per_row.append(len(others))
+                other_digests.append([sha(x) for x in more])
+            cols = [lists(ids), pa.array([len(x) for x in ids], pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+            cols += [pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), lists(others)), pa.array(other_digests, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *added])
 
-    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.ArrayType(T.DoubleType()), T.StringType(), T.BooleanType()]
+    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.ArrayType(T.DoubleType()), T.StringType(), T.BooleanType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType())]
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(a, k) for a, k in zip(added, kinds, strict=True))]))
 
 
@@ -273,4 +275,4 @@ def decode(df: DataFrame, ids_col: str = "piece_ids", model_path: str = MODEL) -
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return found.select(F.col(id_col).cast("bigint").alias("doc_id"), "n_pieces", F.col("scores")[0].alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"), "ids_sha256", "round_trip")
+    return found.select(F.col(id_col).cast("bigint").alias("doc_id"), "n_pieces", F.col("scores")[0].alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"), "ids_sha256", "round_trip", F.array_join("other_sha256", ",").alias("other_sha256"))

@@ -286,6 +286,39 @@ def test_pieces(spark, docs):
     assert all(x["decoded"] == (x["text"] or "") for x in back)
 
 
+def test_n_best_ids_of_a_text(spark):
+    codec = piece_codec.Codec.load(n=4)
+    score = {i: x for i, x in codec.pieces.values()}
+    for t in ("the cat", "a b", "on an oar on", "hat"):
+        def ways(u, i=0):
+            if i == len(u):
+                yield ()
+            for j, ids, _ in codec.edges(u, i) if i < len(u) else ():
+                for rest in ways(u, j):
+                    yield ids + rest
+
+        every = [()]
+        for u in codec.units(t):
+            every = [a + b for a in every for b in ways(u)]
+        ids, top = codec.nbest(t)
+        got = [tuple(x.tolist()) for x in ids]
+        assert top == pytest.approx(sorted((sum(score[i] for i in w) for w in every), reverse=True)[:4])
+        assert [sum(score[i] for i in w) for w in got] == pytest.approx(top)
+        assert len(set(got)) == len(got) and set(got) <= set(every) and got[0] == tuple(codec.encode(t)[0].tolist())
+        assert all(codec.decode(x) == t for x in ids)
+        r = piece_codec.encode(spark.createDataFrame([(1, t)], "doc_id bigint, text string"), n=4).first()
+        assert [r["piece_ids"], *r["other_ids"]] == [list(x) for x in got] and len(r["other_sha256"]) == len(got) - 1
+
+
+def test_best_comes_from_the_search(docs):
+    codec = piece_codec.Codec.load()
+    for u in {u for _, t in docs[:60] for u in codec.units(t or "")}:
+        (s, ids), *more = codec.search(u, 2)
+        raw, best, loss = codec.first(u)
+        assert (tuple(np.frombuffer(raw, "<i4").tolist()), best) == (ids, s)
+        assert loss == pytest.approx(s - more[0][0]) if more else loss == float("inf")
+
+
 def test_token_counts(spark, docs):
     for df, rows in both(spark, docs):
         got = token_spans.count_tokens(df).collect()
