@@ -109,24 +109,25 @@ def bridge(incidence: DataFrame, start: DataFrame, layers: int = 1, keep_start:
     return found if keep_start else found.where("layer > 0")
 
 
-def depth_from(incidence: DataFrame, start_vertices: DataFrame, max_layers: int = 100) -> DataFrame:
+def depth_from(incidence: DataFrame, start_vertices: DataFrame) -> DataFrame:
     """(etype, id, depth): how many rings of elements lie between an element and the given vertices; the first ring has depth 0.
 
-    The loop ends when a ring is empty; each ring is cut off from the plans before it.
+    The loop ends when a ring is empty; each ring is cut off from the plans before it.  Elements that share a
+    vertex are at most one ring apart, so a ring needs to be told from the last two only.
     """
-    inc = incidence.select("etype", "id", "vid").distinct()
+    inc = persist(incidence.select("etype", "id", "vid").distinct())
     verts = start_vertices.select("vid").distinct()
-    seen = None
-    for k in range(max_layers):
+    rings: list[DataFrame] = []
+    while True:
         ring = inc.join(verts, "vid").select("etype", "id").distinct()
-        if seen is not None:
-            ring = ring.join(seen, ["etype", "id"], "left_anti")
-        ring = persist(ring.withColumn("depth", F.lit(k)))
+        for last in rings[-2:]:
+            ring = ring.join(last, ["etype", "id"], "left_anti")
+        ring = persist(ring.withColumn("depth", F.lit(len(rings))))
         if ring.isEmpty():
             break
-        seen = ring if seen is None else seen.unionByName(ring)
+        rings.append(ring)
         verts = inc.join(ring.select("etype", "id"), ["etype", "id"]).select("vid").distinct()
-    return seen if seen is not None else inc.select("etype", "id", F.lit(0).alias("depth")).limit(0)
+    return reduce(DataFrame.unionByName, rings) if rings else inc.select("etype", "id", F.lit(0).alias("depth")).limit(0)
 
 
 def common(incidence: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import count, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,17 +148,18 @@ def tets_to_hexes(mesh: Mesh) -> Mesh:
     return Mesh.build(mesh.vertex.unionByName(at), numbered.select(F.lit(T.CODE["hex"]).cast("tinyint").alias("etype"), "id", "conn"))
 
 
-def smooth(mesh: Mesh, fixed: DataFrame, tol: float = 1e-4, max_rounds: int = 50) -> DataFrame:
+def smooth(mesh: Mesh, fixed: DataFrame, tol: float = 1e-4, max_rounds: int | None = None) -> DataFrame:
     """Vertices after Lloyd smoothing: free ones move to the mean of their elements' centroids until none moves over ``tol``.
 
     ``fixed``: ids that stay.  Each round is two aggregations; its result is cut off from the rounds before.
+    Only a caller's ``max_rounds`` ends it earlier.
     """
     from ..checkpoints import persist
 
     inc = persist(mesh.incidence().select("etype", "id", "vid"))
     free = mesh.vertex.select("id").join(fixed.select("id"), "id", "left_anti").withColumn("free", F.lit(True))
     v = persist(mesh.vertex.join(free, "id", "left").select("id", "x", "y", "z", F.coalesce("free", F.lit(False)).alias("free")))
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         mid = inc.join(v.withColumnRenamed("id", "vid"), "vid").groupBy("etype", "id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
         to = inc.join(mid, ["etype", "id"]).groupBy("vid").agg(*[F.avg(f"m{c}").alias(f"n{c}") for c in "xyz"])
         j = v.join(to.withColumnRenamed("vid", "id"), "id", "left")

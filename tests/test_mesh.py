@@ -233,6 +233,29 @@ def test_adaptive_and_cut(spark):
     assert hexes.vertex.count() == 15 and len(q) == 4 and all(r["jacobian"] > 0 for r in q)
 
 
+def test_depth_has_no_last_ring(spark):
+    inc = spark.range(103).select(F.lit(T.CODE["edge"]).cast("tinyint").alias("etype"), "id", F.explode(F.array("id", F.col("id") + 1)).alias("vid")).coalesce(1)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = adjacency.depth_from(inc, spark.createDataFrame([(0,)], "vid bigint").coalesce(1))
+        assert rows(got, "id", "depth") == [(k, k) for k in range(103)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_smoothing_goes_on_until_nothing_moves(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        vertex = spark.createDataFrame([(k, float(k), float(0 < k < 10), 0.0) for k in range(11)], mesh.VERTEX).coalesce(1)
+        element = spark.createDataFrame([(T.CODE["edge"], k, [k, k + 1]) for k in range(10)], mesh.ELEMENT).coalesce(1)
+        y = np.array([r[1] for r in rows(refine.smooth(mesh.Mesh.build(vertex, element), spark.createDataFrame([(0,), (10,)], "id bigint").coalesce(1), 0.007), "id", "y")])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert np.abs(y[:-2] - 2 * y[1:-1] + y[2:]).max() / 4 <= 0.007
+
+
 def test_smoothing(spark):
     m = structured.brick(spark, (0, 0, 0, 4, 4, 0))
     edge = adjacency.skin_vertices(m.element, 1).select(F.col("vid").alias("id"))
