@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own is taken.
+    Where that is unset, a session on one machine (tests) takes a folder of its own; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshlark-ck-"))
     return sc.getCheckpointDir()
 
@@ -36,6 +40,26 @@ def persist(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns of these names (in any case) called otherwise, and what gives a result its old columns back, in order."""
+    taken, clash = {c.lower() for c in df.columns}, {n.lower() for n in names}
+    now, k = {}, 0
+    for c in df.columns:
+        now[c] = c
+        while c.lower() in clash and now[c].lower() in taken | clash:
+            now[c], k = f"__aside_{k}", k + 1
+    clear = df.select(*[F.col(f"`{c}`").alias(now[c]) for c in df.columns])
+    return clear, lambda out: out.select(*[F.col(f"`{now[c]}`").alias(c) for c in df.columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(col: str | object, mod: int):
     """crc32 of the id as text, modulo ``mod``; null for a null id."""
     c = F.col(col) if isinstance(col, str) else col

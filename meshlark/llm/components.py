@@ -18,8 +18,15 @@ from pyspark.sql import functions as F
 from .common import persist
 
 
+#: Edges that a task holds at once.
+HOLD = 500_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star edges (node, smallest node) of what the partition's edges connect."""
+    """Star edges (node, smallest node) of what the partition's edges connect, ``HOLD`` edges at a time.
+
+    Edges come sorted by ``u``.  Where a cut falls between edges of one ``u``, the next part starts with its edge to the smallest node so far.
+    """
     parent: dict[int, int] = {}
     seen: set[tuple[int, int]] = set()
 
@@ -32,24 +39,31 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up
         return top
 
+    def add(u: int, v: int) -> None:
+        a, c = root(u), root(v)
+        if a != c:
+            parent[max(a, c)] = min(a, c)
+            parent.setdefault(min(a, c), min(a, c))
+
+    def stars(carried: int | None = None) -> pa.RecordBatch:
+        found = [(x, r) for x in list(parent) if x != carried and (r := root(x)) != x]
+        changed = [int(e not in seen) for e in found]
+        return pa.record_batch([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64()), pa.array(changed, pa.int32())], ["u", "v", "changed"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if len(seen) >= HOLD:
+                carry = root(u)
+                yield stars(u)
+                parent.clear()
+                seen.clear()
+                if carry != u:
+                    seen.add((u, carry))
+                    add(u, carry)
             seen.add((u, v))
-            a, c = root(u), root(v)
-            if a != c:
-                parent[max(a, c)] = min(a, c)
-                parent.setdefault(min(a, c), min(a, c))
-    us, vs, changed = [], [], []
-    for x in list(parent):
-        if (r := root(x)) != x:
-            us.append(x)
-            vs.append(r)
-            changed.append(0 if (x, r) in seen else 1)
-        if len(us) >= 100_000:
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(changed, pa.int32())], ["u", "v", "changed"])
-            us, vs, changed = [], [], []
-    if us:
-        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(changed, pa.int32())], ["u", "v", "changed"])
+            add(u, v)
+    if parent:
+        yield stars()
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -65,7 +79,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e = persist(contract(e))
     for _ in range(max_rounds):
-        c = contract(e.repartition(F.col("u")))
+        c = contract(e.repartition(F.col("u")).sortWithinPartitions("u", "v"))
         up = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("z"))
         nxt = persist(c.join(up, c.v == up.w, "left").select("u", F.coalesce("z", "v").alias("v"), (F.col("changed") + F.col("z").isNotNull().cast("int")).alias("changed")))
         moved = nxt.agg(F.sum("changed")).first()[0] or 0
