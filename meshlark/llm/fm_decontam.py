@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .common import alnum_words, blobs, byte_table
 
 WINDOW = 10
+#: Names of the columns that :func:`hits` adds.
+ADDED = ("n_words", "spans", "n_hit", "items", "contaminated")
 #: Words indexed together.
 SHARD = 1 << 19
 #: Every how many text positions the suffix array is kept.
@@ -139,6 +141,16 @@ class Phrases:
         for r, key in enumerate(keys):
             self.rows[r, window - len(key) :] = [self.code[x] for x in key]
 
+    def plain(self) -> dict:
+        """What a broadcast carries: no class of this package, which executors need not have."""
+        return dict(self.__dict__)
+
+    @classmethod
+    def of(cls, plain: dict) -> Phrases:
+        ph = cls.__new__(cls)
+        ph.__dict__.update(plain)
+        return ph
+
 
 def shard_hits(docs: list[np.ndarray], ph: Phrases) -> tuple[list[np.ndarray], list[set[int]]]:
     """Per document (arrays of word codes, 0 for a word that no phrase has): merged spans, and items that occur."""
@@ -181,36 +193,63 @@ def shard_hits(docs: list[np.ndarray], ph: Phrases) -> tuple[list[np.ndarray], l
     return spans, items
 
 
-def find(df: DataFrame, phrases: Phrases, text_col: str = "text", shard: int = SHARD, tag: str = "") -> DataFrame:
-    """All columns of ``df`` with __n_words, __spans (word positions, end exclusive) and __items (ids that occur), each name ending in ``tag``."""
-    at = df.columns.index(text_col)
-    bc = df.sparkSession.sparkContext.broadcast(phrases)
-    names = [f"__n_words{tag}", f"__spans{tag}", f"__items{tag}"]
+def together(spans: list[np.ndarray]) -> np.ndarray:
+    """Spans of several searches of one document, merged."""
+    spans = [x for x in spans if len(x)]
+    if len(spans) < 2:
+        return spans[0] if spans else np.empty((0, 2), np.int64)
+    x = np.concatenate(spans)
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    ends = np.maximum.accumulate(x[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], x[1:, 0] > ends[:-1]]))
+    return np.stack([x[first, 0], ends[np.append(first[1:] - 1, len(x) - 1)]], 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ph, tab = bc.value, byte_table()
-        for b in batches:
-            n_words, spans, items, held, size = [], [], [], [], 0
 
-            def flush() -> None:
-                s, i = shard_hits(held, ph)
-                spans.extend(x.tolist() for x in s)
-                items.extend(sorted(ph.ids[k] for k in x) for x in i)
+def _loaded(part) -> dict:  # noqa: ANN001
+    """A broadcast's value, read anew from the worker's file so that it isn't kept."""
+    path = getattr(part, "_path", None)
+    return part.load_from_path(path) if path else part.value
+
 
-            for text in blobs(b.column(at)):
-                w = alnum_words(text, tab)
-                n_words.append(len(w))
-                held.append(np.fromiter((ph.code.get(x, 0) for x in w), np.int32, len(w)))
-                size += len(w)
-                if size >= shard:
-                    flush()
-                    held, size = [], 0
-            flush()
-            cols = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
+def find(df: DataFrame, parts: list, text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    """All columns of ``df`` with those of :data:`ADDED`.
 
-    kinds = [T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
+    ``parts``: broadcasts of phrases, :meth:`Phrases.plain`.  A task has one of them in memory at a time.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tab = byte_table()
+        only = Phrases.of(parts[0].value) if len(parts) == 1 else None
+        for b in batches:
+            texts = blobs(b.column(at))
+            n_words, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for part in parts:
+                ph = only or Phrases.of(_loaded(part))
+                held, size, first = [], 0, 0
+                for k, text in enumerate([*texts, None]):
+                    if k == len(texts) or size >= shard:
+                        for j, (s, i) in enumerate(zip(*shard_hits(held, ph), strict=True)):
+                            spans[first + j].append(s)
+                            items[first + j].update(ph.ids[x] for x in i)
+                        held, size, first = [], 0, k
+                    if k < len(texts):
+                        w = alnum_words(text, tab)
+                        n_words[k] = len(w)
+                        held.append(np.fromiter((ph.code.get(x, 0) for x in w), np.int32, len(w)))
+                        size += len(w)
+            merged = [together(x) for x in spans]
+            cols = [
+                pa.array(n_words, pa.int64()),
+                pa.array([x.tolist() for x in merged], pa.list_(pa.list_(pa.int64()))),
+                pa.array([int((x[:, 1] - x[:, 0]).sum()) for x in merged], pa.int64()),
+                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                pa.array([len(x) > 0 for x in merged], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *ADDED])
+
+    kinds = [T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.LongType(), T.ArrayType(T.StringType()), T.BooleanType()]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(ADDED, kinds, strict=True))]))
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Phrases]:
@@ -227,26 +266,19 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_
 
 
 def hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``df`` with n_words, spans, n_hit, items (ids as strings, sorted) and contaminated.
+    """All columns of ``df`` with n_words, spans (of words, merged), n_hit, items (ids as strings, sorted) and contaminated.
 
-    A benchmark beyond ``block_bytes`` is searched block by block, row by row of
-    ``df``, so what tasks hold stays bounded.  A null text has no words; an item
-    without words occurs nowhere; a null item id reads as an empty string.
-    Repeated rows each give a row.  A column of ``df`` with an added name gives way.
+    A benchmark beyond ``block_bytes`` is broadcast in blocks, one at a time, and a task searches its rows for one block after
+    the other, so what driver and tasks hold in memory stays bounded; only disk holds all blocks.  A null text has no words; an item
+    without words occurs nowhere; a null item id reads as an empty string.  Texts of any length are searched whole.
+    Repeated rows each give a row; an empty table, of documents or items, is no error.  A column of ``df`` with an added name, in any case, gives way.
     """
-    added = {"n_words", "spans", "n_hit", "items", "contaminated"} - {text_col}
-    kept = [c for c in df.columns if c not in added]
-    out, n = df.select(*kept), 0
+    df = df.select(*[c for c in df.columns if c.lower() not in ADDED or c == text_col])
+    sc = df.sparkSession.sparkContext
+    parts = []
     for ph in blocks(benchmark, item_col, item_text, window, block_bytes):
-        out, n = find(out, ph, text_col, tag=str(n)), n + 1
-    spans = F.array_sort(F.flatten(F.array(*[f"__spans{k}" for k in range(n)])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"__items{k}" for k in range(n)]))))
-    out = out.select(*kept, F.col("__n_words0").alias("n_words"), spans.alias("spans"), items.alias("items"))
-    # spans of several blocks can overlap: sorted by start, each adds what lies beyond those before
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
-    covered = F.aggregate("spans", zero, lambda a, s: F.struct((a["n"] + F.greatest(s[1] - F.greatest(s[0], a["end"]), F.lit(0).cast("bigint"))).alias("n"), F.greatest(s[1], a["end"]).alias("end")), lambda a: a["n"])
-    out = out.withColumn("n_hit", covered)
-    return out.select(*kept, "n_words", "spans", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
+        parts.append(sc.broadcast(ph.plain()))
+    return find(df, parts, text_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
