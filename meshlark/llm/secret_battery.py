@@ -5,23 +5,29 @@ Base kinds are fixed patterns.  The method adds spans: runs of at least
 and base-64 alphabets that holds a candidate is its encoding.  Three tests ask
 whether its characters look drawn at random from that alphabet:
 
-- chi-squared uniformity over the alphabet's equal-sized blocks,
+- chi-squared uniformity over the alphabet's equal-sized blocks (16 from ``FINE`` characters on, else 8),
 - Wald-Wolfowitz runs about the alphabet's middle,
 - lag-1 serial correlation of the characters' values.
 
-Fisher's method joins the three p-values.  Candidates with digits and letters
-compete against decoys, the candidates with letters only, which are words: within each
-length band a candidate is a secret when its joint p-value reaches the smallest
-cut at which the share of decoys as short or shorter, scaled to the number of candidates,
-keeps the false discovery rate at ``ALPHA``.  One decoy is added to each count, so thin
-evidence needs larger p-values, or gives none.
+Fisher's method joins the three p-values into the probability that a random string looks no
+better.  What is to be refuted is that a candidate is made of words, so its p-value is the share of
+decoys that look as random.  Decoys are made here, ``DECOYS`` for each length band: words of a fixed
+list, joined in the ways of identifiers, paths and prose.  Beyond the ``TAIL`` most random decoys of
+a band an exponential in the logarithm carries their share on.  This calibration doesn't depend on the table.
+
+Within a length band the candidates of the whole table then go by Benjamini and Hochberg's rule at ``ALPHA``:
+the smallest cut counts at which (p-value of the cut) x (candidates) <= ``ALPHA`` x (candidates that reach it).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import aside, fresh
+
 # Patterns of the base kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]+"""
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -33,7 +39,21 @@ CANDIDATE = r"[A-Za-z0-9+/_\-]{20,}"
 #: Cuts of the joint p-value; a fixed grid, so that band counts stay small.
 CUTS = [round(0.02 * k, 2) for k in range(1, 50)]
 BANDS = [24, 32, 40, 64, 128]
+#: Length from which uniformity is tested in 16 blocks.
+FINE = 40
+#: Longest decoy of the last band; longer candidates are told apart at least as well.
+LONGEST = 144
 ALPHA = 0.05
+DECOYS, TAIL = 1000, 20
+#: Words of the decoys.
+WORDS = """the of and to in is that for it as was with on are by this be at from or have an they which one you were all her she there would their we him been
+has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even
+most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still see own work
+long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three
+get set user name data index value file path list item type key map node text page view model config server client request response error test main util string array object number
+information international understanding administration responsibility communication development representation organization university
+der die und das ist nicht ein eine auch werden haben einer durch noch sind einem wird aber heit keit ung lich schaft
+les des une est pour dans que qui sur pas avec tion ment eur eux aux elle ation el los las una por con para como ente idad cion""".split()
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -83,10 +103,10 @@ def battery(token: Column) -> Column:
     def joint(y: Column) -> Column:
         v, e, mid, high = y["v"], y["e"], y["mid"], y["high"]
         n = F.size(v).cast("double")
-        width = F.when(e == 16, F.lit(2.0)).when(e == 36, F.lit(4.5)).otherwise(F.lit(8.0))
-        cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.size(F.filter(v, lambda x: F.floor(x / width) == k)).cast("double"))
-        chi = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.pow(c - n / 8, F.lit(2)) / (n / 8))
-        p1 = chi2_tail(F.greatest(chi, F.lit(1e-9)), F.lit(7.0))
+        blocks = F.when(n >= FINE, F.lit(16.0)).otherwise(F.lit(8.0))
+        cells = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda k: F.size(F.filter(v, lambda x: F.floor(x / (e / blocks)) == k)).cast("double"))
+        chi = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.pow(c - n / blocks, F.lit(2)) / (n / blocks))
+        p1 = chi2_tail(F.greatest(chi, F.lit(1e-9)), blocks - 1)
         runs = 1.0 + lag_sum(v, lambda q, x: F.when((x >= e / 2) != (q >= e / 2), 1.0).otherwise(0.0))
         mean = 2 * high * (n - high) / n + 1
         var = (mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0))
@@ -102,32 +122,94 @@ def battery(token: Column) -> Column:
     return F.transform(sums, lambda y: F.struct(y["e"].alias("encoding"), joint(y).alias("p")))[0]
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<s,e,p,band,decoy>> of a text's candidates."""
+def band_of(n: Column) -> Column:
+    band = F.lit(len(BANDS))
+    for k in range(len(BANDS) - 1, -1, -1):
+        band = F.when(n < BANDS[k], F.lit(k)).otherwise(band)
+    return band
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """array<struct<s,e,p,band>> of a text's candidates: runs with a letter that overlap no base span."""
     def judge(x: Column) -> Column:
-        n = x["e"] - x["s"]
-        band = F.lit(len(BANDS))
-        for k in range(len(BANDS) - 1, -1, -1):
-            band = F.when(n < BANDS[k], F.lit(k)).otherwise(band)
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["m"])["p"].alias("p"), band.alias("band"), (~F.regexp_like(x["m"], F.lit("[0-9]"))).alias("decoy"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["m"])["p"].alias("p"), band_of(x["e"] - x["s"]).alias("band"))
+
+    free = lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    return F.transform(F.filter(spans_of(text, CANDIDATE), lambda x: F.regexp_like(x["m"], F.lit("[A-Za-z]")) & free(x)), judge)
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<s,k,e>> of the base kinds' matches, by start, then kind."""
+    assign = F.filter(spans_of(text, ASSIGN), lambda x: F.char_length(F.regexp_replace(x["m"], F.lit(ASSIGN_HEAD), F.lit(""))) >= 8)
+    access = F.filter(spans_of(text, ACCESS), lambda x: x["e"] - x["s"] >= 16)
+    return F.array_sort(F.concat(_own(assign, 0), _own(access, 1), _own(spans_of(text, HEX), 2)))
+
+
+def _own(spans: Column, kind: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
+
 
-    return F.transform(F.filter(spans_of(text, CANDIDATE), lambda x: F.regexp_like(x["m"], F.lit("[A-Za-z]"))), judge)
+def decoys(spark: SparkSession) -> DataFrame:
+    """(band, token): made-up strings of words, the same everywhere."""
+    draw = lambda *keys: F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys])
+    pick = lambda n, *keys: F.pmod(draw(*keys), F.lit(n)).cast("int")
+    lows, highs = [MIN_LENGTH, *BANDS], [b - 1 for b in BANDS] + [LONGEST]
+    rows = spark.range(DECOYS * len(lows)).select(F.pmod("id", F.lit(len(lows))).cast("int").alias("band"), F.col("id").alias("i"))
+    low, high = F.array(*map(F.lit, lows)), F.array(*map(F.lit, highs))
+    rows = rows.withColumn("n", F.element_at(low, F.col("band") + 1) + F.pmod(draw("i"), F.element_at(high, F.col("band") + 1) - F.element_at(low, F.col("band") + 1) + 1).cast("int"))
+    rows = rows.withColumn("style", pick(8, F.col("i"), "style"))
+    words = F.array(*map(F.lit, WORDS))
+
+    def word(j: Column) -> Column:
+        w = F.element_at(words, pick(len(WORDS), F.col("i"), j) + 1)
+        number = pick(2100, F.col("i"), j, "number").cast("string")
+        style = F.col("style")
+        w = F.when(style.isin(3, 6), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 99))).when(style == 4, F.upper(w)).otherwise(w)
+        return F.when((style >= 5) & (pick(4, F.col("i"), j, "often") == 0), number).otherwise(w)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int")), word)
+    joint = F.when(F.col("style").isin(1, 4), F.lit("_")).when(F.col("style") == 2, F.lit("-")).when(F.col("style") == 7, F.lit("/")).otherwise(F.lit(""))
+    token = F.expr("concat_ws(glue, parts)")
+    return rows.select("band", "n", joint.alias("glue"), parts.alias("parts")).select("band", F.substring(token, F.lit(1), F.col("n")).alias("token"))
+
+
+_calibrated: dict[tuple, dict] = {}
+
+
+def calibration(spark: SparkSession) -> dict[int, tuple[list[int], float, float]]:
+    """Band to (decoys that reach each cut, logarithm of p that ``TAIL`` decoys reach, mean excess over it); once for each driver process."""
+    key = (DECOYS, TAIL, tuple(CUTS), tuple(BANDS))
+    if key not in _calibrated:
+        p = F.greatest(battery(F.col("token"))["p"], F.lit(1e-300))
+        top = F.slice(F.sort_array(F.collect_list("x"), asc=False), 1, TAIL)
+        reach = [F.count(F.when(F.col("p") >= c, 1)) for c in CUTS]
+        rows = decoys(spark).where(F.regexp_like("token", F.lit("[A-Za-z]"))).select("band", p.alias("p")).withColumn("x", F.log("p"))
+        got = rows.groupBy("band").agg(F.array(*reach).alias("reach"), top.alias("top")).collect()
+        _calibrated[key] = {r["band"]: (list(r["reach"]), r["top"][-1], max(0.05, sum(x - r["top"][-1] for x in r["top"]) / len(r["top"]))) for r in got}
+    return _calibrated[key]
+
+
+def false_share(band: tuple[list[int], float, float], k: int) -> float:
+    """Share of the decoys of a band that reach cut ``k``."""
+    reach, least, excess = band
+    x = math.log(CUTS[k])
+    if x <= least:
+        return (reach[k] + 1) / (DECOYS + 1)
+    return TAIL / DECOYS * math.exp(-(x - least) / excess)
 
 
 def cuts(cands: DataFrame) -> dict[int, float]:
     """Length band to the smallest admissible cut, from band counts over all candidates (bands x cuts rows at most)."""
-    rows = cands.select(F.explode("__c").alias("c")).select("c.*")
+    rows = cands.select(F.explode(F.col(cands.columns[0])).alias("c")).select("c.*")
     step = F.floor(F.col("p") * 50).cast("int")
-    got = rows.groupBy("band", "decoy", F.least(step, F.lit(49)).alias("k")).count().collect()
-    found = {}
+    got = rows.groupBy("band", F.least(step, F.lit(49)).alias("k")).count().collect()
+    known, found = calibration(cands.sparkSession) if got else {}, {}
     for band in range(len(BANDS) + 1):
-        own = [(r["k"], r["count"]) for r in got if r["band"] == band and not r["decoy"]]
-        bad = [(r["k"], r["count"]) for r in got if r["band"] <= band and r["decoy"]]
-        all_own, all_bad = sum(n for _, n in own), sum(n for _, n in bad)
-        for k, cut in enumerate(CUTS, 1):
-            hits = sum(n for j, n in own if j >= k)
-            false = (sum(n for j, n in bad if j >= k) + 1) / (all_bad + 1) * all_own
-            if hits and false <= ALPHA * hits:
+        own = [(r["k"], r["count"]) for r in got if r["band"] == band]
+        every = sum(n for _, n in own)
+        for k, cut in enumerate(CUTS):
+            hits = sum(n for j, n in own if j > k)
+            if hits and false_share(known[band], k) * every <= ALPHA * hits:
                 found[band] = cut
                 break
     return found
@@ -136,46 +218,46 @@ def cuts(cands: DataFrame) -> dict[int, float]:
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns with base (array<struct<kind,s,e>> by start, then kind) and spans (base and added, likewise).
 
-    Null text: no spans.  A candidate that overlaps a base span adds none.  Repeated
-    rows each give a row.  A column with one of the added names gives way.
+    Null and empty texts: no spans.  A candidate that overlaps a base span adds none.  Texts of any length are scanned whole.  Repeated
+    rows each give a row; an empty table gives none.  A column with one of the added names, in any case, gives way.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = [c for c in df.columns if c not in {"base", "spans"} - {text_col}]
-    own = lambda arr, k: F.transform(arr, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
-    assign = F.filter(spans_of(text, ASSIGN), lambda x: F.char_length(F.regexp_replace(x["m"], F.lit(ASSIGN_HEAD), F.lit(""))) >= 8)
-    access = F.filter(spans_of(text, ACCESS), lambda x: x["e"] - x["s"] >= 16)
-    base = F.array_sort(F.concat(own(assign, 0), own(access, 1), own(spans_of(text, HEX), 2)))
-    cut = cuts(df.select(candidates(text).alias("__c")))
-    table = F.create_map(*[x for band, c in cut.items() for x in (F.lit(band), F.lit(c))]) if cut else None
-    marked = df.select(*kept, base.alias("__base"), candidates(text).alias("__c"))
-    if table is None:
-        added = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    kept = [c for c in df.columns if c.lower() not in {"base", "spans"} or c == text_col]
+    base_col, cand_col, text_name = fresh(df, "__base"), fresh(df, "__cand"), fresh(df, "__plain")
+    some = df.where(F.regexp_like(text, F.lit(CANDIDATE))).select(text.alias(text_name)).select(text_name, base_spans(F.col(text_name)).alias(base_col))
+    cut = cuts(some.select(candidates(F.col(text_name), F.col(base_col)).alias(cand_col)))
+    marked = df.select(*kept, text.alias(text_name), base_spans(text).alias(base_col))
+    if cut:
+        table = F.create_map(*[x for band, c in cut.items() for x in (F.lit(band), F.lit(c))])
+        marked = marked.withColumn(cand_col, candidates(F.col(text_name), F.col(base_col)))
+        added = _own(F.filter(cand_col, lambda x: x["p"] >= F.coalesce(table[x["band"]], F.lit(2.0))), 3)
     else:
-        free = lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        good = F.filter("__c", lambda x: (~x["decoy"]) & (x["p"] >= F.coalesce(table[x["band"]], F.lit(2.0))) & free(x))
-        added = own(good, 3)
+        added = F.array().cast("array<struct<s:int,k:int,e:int>>")
     named = lambda arr: F.transform(arr, lambda x: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    return marked.select(*kept, named(F.col("__base")).alias("base"), named(F.array_sort(F.concat("__base", added))).alias("spans"))
+    return marked.select(*kept, named(F.col(base_col)).alias("base"), named(F.array_sort(F.concat(base_col, added))).alias("spans"))
 
 
 def mask(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", by: str = "<secret>") -> DataFrame:
     """Same rows and columns; every span of :func:`scan` gives way to ``by``, and ``chars_col``, if there, counts anew where the text changed.
 
-    Overlapping spans are masked as one.  A null text stays null.
+    Overlapping spans are masked as one.  Null and empty texts stay as they are, as do all other columns, whatever their names.
+    Repeated rows all stay; an empty table stays empty.
     """
-    found = scan(df.withColumnRenamed(text_col, "__text"), "__text").drop("base")
+    clear, back = aside(df, ["base", "spans"])
+    found = scan(clear, text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    old = F.col(text_col)
 
     def step(a: Column, x: Column) -> Column:
-        gap = F.substring(F.col("__text"), a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
+        gap = F.substring(old, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], F.concat(a["out"], gap, F.lit(by))).otherwise(a["out"]).alias("out"))
 
-    masked = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("__text"), a["at"] + 1, F.char_length("__text"))))
-    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("__text"))
-    out = {text_col: text.alias(text_col)}
+    masked = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(old, a["at"] + 1, F.char_length(old))))
+    changed = F.size("spans") > 0
+    new = {text_col: F.when(changed, masked).otherwise(old)}
     if chars_col in df.columns:
-        out[chars_col] = F.when(F.size("spans") > 0, F.char_length(masked).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col)).alias(chars_col)
-    return found.select(*[out.get(c, F.col(c)) for c in df.columns])
+        new[chars_col] = F.when(changed, F.char_length(masked).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return back(found.withColumns(new))
 
 
 #: Kinds as listed; ``random`` are the added ones.
