@@ -3,6 +3,12 @@
 A text is a lattice of pieces between character positions.  A forward Viterbi
 pass gives the best score of every prefix; these are exact heuristics for an A-star
 search backwards from the end, which so yields complete segmentations best first.
+The search's first goal follows the best edges, which is done in numpy for all units of a
+length at once; what else there is comes from the search's queue.
+
+The vocabulary file is of merge type: its pieces have ranks and no probabilities.  Sums of ranks
+would favour many small pieces, so a piece's score is its log-probability by Zipf's law,
+1 / (rank + ``SHIFT``) over the sum of these; pieces that no merge makes come last.
 
 Spaces become U+2581, one of which is put in front.  No piece has U+2581 after another
 character, so the lattice falls apart into units (U+2581s and what follows them):
@@ -36,18 +42,56 @@ LITERAL = "\udc81"
 CACHE = 250_000
 #: Longest unit that is remembered.
 SHORT = 64
+#: Added to a merge rank before Zipf's law gives its probability.
+SHIFT = 300
+#: Units of a length from which numpy handles them together; the results are the same either way.
+TOGETHER = 4
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 _first = itemgetter(0)
 
 
+class Slots:
+    """Piece numbers by a 64-bit hash of their characters: tables of falling size, each for what the ones before had no free slot for."""
+
+    def __init__(self, pieces: list[str]):
+        left = {}
+        for k, p in enumerate(pieces):
+            h = 0
+            for c in p:
+                h = (h * int(_STEP) + ord(c) + 1) % 2**64
+            left[h] = k
+        self.tables, bits = [], 18
+        while left:
+            keys, at, more = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), {}
+            odd = (0xD6E8FEB86659FD93 + 2 * len(self.tables)) % 2**64
+            for h, k in left.items():
+                x = (h * odd % 2**64) >> (64 - bits)
+                if at[x] < 0:
+                    keys[x], at[x] = h, k
+                else:
+                    more[h] = k
+            self.tables.append((np.uint64(odd), np.uint64(64 - bits), keys, at))
+            left, bits = more, max(8, bits - 3)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 for none."""
+        out = np.full(h.shape, -1, np.int32)
+        for odd, shift, keys, at in self.tables:
+            x = (h * odd) >> shift
+            hit = np.nonzero(keys[x] == h)
+            out[hit] = at[x[hit]]
+        return out
+
+
 class Codec:
-    """Vocabulary and search; picklable, and lives as long as its worker when broadcast."""
+    """Vocabulary and search; made by each worker from plain values (:meth:`plain`)."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], names: list[bytes], n: int = 3):
         self.pieces, self.byte_ids, self.names, self.n = pieces, byte_ids, names, n
         self.longest = max(map(len, pieces), default=1)
-        self.byte_score = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - 10.0
+        self.byte_score = min((s for _, s in pieces.values()), default=0.0) - 10.0
         self.whole = any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.cache: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -59,6 +103,14 @@ class Codec:
                 node = kids.setdefault(c, [{}, None])
                 kids = node[0]
             node[1] = ((i,), s)
+        self.slots = Slots(list(pieces))
+        # pieces, then ASCII characters in byte pieces, then none
+        self.slot_ids = np.array([*[i for i, _ in pieces.values()], *byte_ids[:128], -1], np.int32)
+        self.slot_scores = np.array([*[s for _, s in pieces.values()], *[self.byte_score] * 128, -math.inf])
+
+    def plain(self) -> tuple:
+        """What a broadcast carries, so that executors need no class of this package: ``Codec(*plain)`` is the same again."""
+        return self.pieces, self.byte_ids, self.names, self.n
 
     @classmethod
     def load(cls, path: str = MODEL, n: int = 3) -> Codec:
@@ -66,7 +118,7 @@ class Codec:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces, byte_ids, names = {}, [0] * 256, []
+        ranks, byte_ids, names = {}, [0] * 256, []
         for i in range(m.get_piece_size()):
             p = m.id_to_piece(i)
             if m.is_byte(i):
@@ -75,9 +127,10 @@ class Codec:
             elif m.is_control(i) or m.is_unknown(i) or m.is_unused(i):
                 names.append(b"")
             else:
-                pieces[p] = (i, m.get_score(i))
+                ranks[p] = (i, min(-m.get_score(i), float(m.get_piece_size())))
                 names.append(p.replace(SPACE, " ").encode())
-        return cls(pieces, byte_ids, names, n)
+        whole = math.log(math.fsum(1 / (r + SHIFT) for _, r in ranks.values())) if ranks else 0.0
+        return cls({p: (i, -math.log(r + SHIFT) - whole) for p, (i, r) in ranks.items()}, byte_ids, names, n)
 
     def spell(self, c: str) -> tuple[tuple[int, ...], float]:
         """(ids, score) of a character in byte pieces."""
@@ -151,8 +204,8 @@ class Codec:
 
     def first(self, unit: str) -> tuple[bytes, float, float]:
         """The first goal of :meth:`search` (ids as int32, score), and by how much the best hypothesis then waiting scores less."""
-        back = self.lattice(unit)[1]
-        out, j, g, loss = [], len(unit), 0.0, math.inf
+        best, back = self.lattice(unit)
+        out, j, loss = [], len(unit), math.inf
         while j:
             edges = back[j]
             top = edges[0]
@@ -165,54 +218,136 @@ class Codec:
                         other = e[0]
                 if top[0] - other < loss:
                     loss = top[0] - other
-            p = top[2]
-            g += p[1]
             j = top[1]
-            out.append(p[0])
+            out.append(top[2][0])
         ids = [i for p in reversed(out) for i in p]
-        return struct.pack(f"<{len(ids)}i", *ids), g, loss
+        return struct.pack(f"<{len(ids)}i", *ids), best[-1], loss
+
+    def firsts(self, units: list[str]) -> list[tuple[bytes, float, float]]:
+        """:meth:`first` of many units of one length."""
+        size, m = len(units[0]), len(units)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size).astype(np.uint64) + np.uint64(1)
+        most = min(size, self.longest)
+        found, score, h = [], [], np.zeros((m, size + 1), np.uint64)
+        for n in range(1, most + 1):
+            h = h[:, :-1] * _STEP + chars[:, n - 1 :]
+            k = self.slots.find(h)
+            if n == 1:
+                k = np.where((k < 0) & (chars <= 128), len(self.pieces) - 1 + chars.astype(np.int64), k)
+            found.append(k)
+            score.append(self.slot_scores[k])
+        spelled = np.argwhere(found[0] < 0)
+        for u, i in spelled.tolist():
+            score[0][u, i] = self.spell(units[u][i])[1]
+        best, step, gap = np.zeros((m, size + 1)), np.zeros((m, size + 1), np.int64), np.full((m, size + 1), math.inf)
+        every = np.arange(m)
+        for j in range(1, size + 1):
+            lengths = range(min(j, most), 0, -1)  # from the earliest start on, so equal scores go to the longest
+            ways = np.stack([best[:, j - n] + score[n - 1][:, j - n] for n in lengths], 1)
+            top = ways.argmax(axis=1)
+            best[:, j] = ways[every, top]
+            step[:, j] = min(j, most) - top
+            ways[every, top] = -math.inf
+            gap[:, j] = best[:, j] - ways.max(axis=1)
+        loss, at, live, ids, took = np.full(m, math.inf), np.full(m, size), every, np.full((m, size), -1, np.int32), np.zeros(m, np.int64)
+        odd = np.zeros(m, bool)
+        while len(live):
+            j = at[live]
+            loss[live] = np.minimum(loss[live], gap[live, j])
+            n = step[live, j]
+            at[live] = i = j - n
+            k = np.full(len(live), -1, np.int32)
+            for x in np.unique(n).tolist():
+                w = np.flatnonzero(n == x)
+                k[w] = found[x - 1][live[w], i[w]]
+            odd[live[k < 0]] = True
+            ids[live, size - 1 - took[live]] = self.slot_ids[k]
+            took[live] += 1
+            live = live[i > 0]
+        raw, ends = ids.astype("<i4").tobytes(), np.arange(1, m + 1) * size * 4
+        starts = (ends - took * 4).tolist()
+        out = []
+        for u, (s, e, b, x, o) in enumerate(zip(starts, ends.tolist(), best[:, size].tolist(), loss.tolist(), odd.tolist(), strict=True)):
+            out.append(self.first(units[u]) if o else (raw[s:e], b, x))
+        return out
+
+    def names_of(self, raw: bytes) -> bytes:
+        names = self.names
+        return b"".join([names[i] for i in struct.unpack(f"<{len(raw) // 4}i", raw)])
+
+    def remember(self, u: str, rec: tuple[bytes, float, float]) -> None:
+        if len(u) <= SHORT:
+            if len(self.cache) >= CACHE:
+                self.older, self.cache = self.cache, {}
+            self.cache[u] = rec
 
     def unit(self, u: str) -> tuple[bytes, float, float]:
         """(ids as int32, best score, loss of the second best) of a unit."""
         rec = self.older.get(u)
         if rec is None:
             rec = self.first(u)
-        if len(u) <= SHORT:
-            if len(self.cache) >= CACHE:
-                self.older, self.cache = self.cache, {}
-            self.cache[u] = rec
+        self.remember(u, rec)
         return rec
 
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Remembers the units of some texts, many of a length at once."""
+        new = set().union(*texts) - self.cache.keys()
+        by_length: dict[int, list[str]] = {}
+        for u in new:
+            rec = self.older.get(u)
+            if rec is not None:
+                self.remember(u, rec)
+            elif len(u) <= SHORT:
+                by_length.setdefault(len(u), []).append(u)
+        for us in by_length.values():
+            for s in range(0, len(us), 4096):
+                part = us[s : s + 4096]
+                if len(part) >= TOGETHER:
+                    for u, rec in zip(part, self.firsts(part), strict=True):
+                        self.remember(u, rec)
+
     def units(self, text: str) -> list[str]:
         """Pieces may not cross from one unit to the next."""
         s = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
         return [s] if self.whole else re.findall(f"{SPACE}+[^{SPACE}]*", s)
 
-    def nbest(self, text: str) -> tuple[list[np.ndarray], list[float]]:
-        """Ids and scores of the N best segmentations, best first; fewer if the text has no more."""
+    def nbest(self, text: str, units: list[str] | None = None) -> tuple[list[np.ndarray], list[float], bool]:
+        """Ids and scores of the N best segmentations, best first, fewer if the text has no more; and whether each decodes to the text."""
         if not text:
-            return [np.empty(0, np.int32)], [0.0]
-        get, slow, units = self.cache.get, self.unit, self.units(text)
+            return [np.empty(0, np.int32)], [0.0], True
+        get, slow = self.cache.get, self.unit
+        units = self.units(text) if units is None else units
         recs = [get(u) or slow(u) for u in units]
-        raw, loss = [r[0] for r in recs], [r[2] for r in recs]
-        top: list[tuple[float, tuple]] = [(sum([r[1] for r in recs]), ())]  # score, and (unit, ids) where it leaves the best
+        raw, best, loss = zip(*recs, strict=True)
+        top: list[tuple[float, tuple]] = [(sum(best), ())]  # score, and (unit, ids) where it leaves the best
         # only the units that lose least can differ from the best in one of the N best
-        for k in heapq.nsmallest(self.n - 1, range(len(loss)), key=loss.__getitem__):
-            if loss[k] < math.inf:
-                (best, _), *more = self.search(units[k], self.n)
-                top += [(t - (best - s), (*c, (k, ids))) for t, c in top for s, ids in more]
-                top = heapq.nlargest(self.n, top, key=_first)
-        out = []
-        for _, changes in top:
-            own = raw.copy() if changes else raw
+        if self.n > 1:
+            losses = np.array(loss)
+            few = np.argpartition(losses, self.n - 2)[: self.n - 1] if len(losses) >= self.n else np.arange(len(losses))
+            for k in sorted(few.tolist(), key=lambda k: (loss[k], k)):
+                if loss[k] < math.inf:
+                    (first, _), *more = self.search(units[k], self.n)
+                    top += [(t - (first - s), (*c, (k, ids))) for t, c in top for s, ids in more]
+                    top = heapq.nlargest(self.n, top, key=_first)
+        whole = b"".join(raw)
+        out = [np.frombuffer(whole, "<i4")]
+        same = self.decode(out[0]) == text
+        if not same:  # a string outside the vocabulary that has a piece's hash: letter by letter, without hashes
+            for u in set(units):
+                self.cache[u] = self.first(u)
+            whole = b"".join([self.cache[u][0] for u in units])
+            return ([np.frombuffer(whole, "<i4")], [sum(self.cache[u][1] for u in units)], False) if whole == b"".join(raw) else self.nbest(text, units)
+        for _, changes in top[1:]:
+            own = list(raw)
             for k, ids in changes:
                 own[k] = struct.pack(f"<{len(ids)}i", *ids)
+                same = same and self.names_of(own[k]) == self.names_of(raw[k])  # the rest is the best's
             out.append(np.frombuffer(b"".join(own), "<i4"))
-        return out, [t for t, _ in top]
+        return out, [t for t, _ in top], same
 
     def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
         """Ids of the best segmentation, and the scores of the N best."""
-        found, top = self.nbest(text)
+        found, top, _ = self.nbest(text)
         return found[0], top
 
     def decode(self, ids: np.ndarray) -> str:
@@ -227,12 +362,13 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, n: in
 
     other_ids and other_sha256: ids of the second best to the N-th, and their digests.
     round_trip: whether decoding the ids, those of all N, gives back the text.  Null and empty texts have no
-    pieces, score 0, and come back as empty.  Repeated rows each give a row; a column with an added name gives way.
+    pieces, score 0, and come back as empty.  Texts of any length are encoded whole.  Repeated rows each give a row, an empty table none;
+    a column with an added name, in any case, gives way.
     """
     added = ["piece_ids", "n_pieces", "scores", "ids_sha256", "round_trip", "other_ids", "other_sha256"]
-    df = df.select(*[c for c in df.columns if c not in added or c == text_col])
+    df = df.select(*[c for c in df.columns if c.lower() not in added or c == text_col])
     at = df.columns.index(text_col)
-    bc = df.sparkSession.sparkContext.broadcast(Codec.load(model_path, n))
+    bc = df.sparkSession.sparkContext.broadcast(Codec.load(model_path, n).plain())
     sha = lambda x: hashlib.sha256(x.astype("<i4").tobytes()).hexdigest()
 
     def lists(ids: list[np.ndarray]) -> pa.ListArray:
@@ -240,15 +376,18 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, n: in
         return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bc.value
+        codec = Codec(*bc.value)
         for b in (whole.slice(s, 512) for whole in batches for s in range(0, whole.num_rows, 512)):
             ids, scores, digests, same, others, per_row, other_digests = [], [], [], [], [], [0], []
-            for t in b.column(at).to_pylist():
-                (got, *more), top = codec.nbest(t or "")
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            split = [codec.units(t) if t else [] for t in texts]
+            codec.prepare(split)
+            for t, units in zip(texts, split, strict=True):
+                (got, *more), top, back = codec.nbest(t, units)
                 ids.append(got)
                 scores.append(top)
                 digests.append(sha(got))
-                same.append(all(codec.decode(x) == (t or "") for x in (got, *more)))
+                same.append(back)
                 others += more
                 per_row.append(len(others))
                 other_digests.append([sha(x) for x in more])
@@ -261,14 +400,15 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, n: in
 
 
 def decode(df: DataFrame, ids_col: str = "piece_ids", model_path: str = MODEL) -> DataFrame:
-    """All columns with ``decoded``; null ids give a null."""
-    df = df.select(*[c for c in df.columns if c != "decoded"])
+    """All columns with ``decoded``; null ids give a null; a column of that name, in any case, gives way."""
+    df = df.select(*[c for c in df.columns if c.lower() != "decoded"])
     at = df.columns.index(ids_col)
-    bc = df.sparkSession.sparkContext.broadcast(Codec.load(model_path))
+    bc = df.sparkSession.sparkContext.broadcast(Codec.load(model_path).plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(*bc.value)
         for b in batches:
-            got = [None if x is None else bc.value.decode(np.array(x, np.int64)) for x in b.column(at).to_pylist()]
+            got = [None if x is None else codec.decode(np.array(x, np.int64)) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, "decoded"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -53,6 +54,41 @@ def simhash_components(rows):
     return [(i, f"{f:016x}", least.get(root(f))) for (i, _), f in zip(rows, fps)]
 
 
+def shingles(text, size=5):
+    w = WORDS.findall(low(text))
+    return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) or frozenset([tuple(w)])
+
+
+def similar_groups(texts, size=5, similarity=0.8):
+    """text -> group, for distinct texts (null as empty)."""
+    texts = sorted({t or "" for t in texts})
+    sets, parent, holders = [shingles(t, size) for t in texts], list(range(len(texts))), {}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, s in enumerate(sets):
+        common = Counter(j for x in s for j in holders.get(x, ()))
+        for j, n in common.items():
+            if n >= similarity * (len(s) + len(sets[j]) - n):
+                parent[root(k)] = root(j)
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    return {t: root(k) for k, t in enumerate(texts)}
+
+
+def stay(rows):
+    """(id, text) that stay: of each group the smallest id, then the smallest MD5."""
+    group, best = similar_groups([t for _, t in rows]), {}
+    for i, t in rows:
+        key = (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest())
+        g = group[t or ""]
+        best[g] = min(best.get(g, key), key)
+    return sorted(((k[1] if not k[0] else None), k[2]) for k in best.values())
+
+
 def contamination(rows, items, window=10):
     wins = {}
     for i, t in items:
@@ -129,3 +165,66 @@ def unigram(rows):
     for (i, _), t in zip(rows, toks):
         out.append((i, i is not None and rem(i) == 1, len(t), sum(c[x] > 0 for x in t), sum(log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t) if n else 0.0))
     return n, out
+
+
+# --- randomness battery ----------------------------------------------------
+
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{20,}")
+
+
+def _tail(z):
+    return 1 / (1 + math.exp(max(-700.0, min(700.0, 1.5976 * z + 0.070566 * z**3))))
+
+
+def _chi(x, k):
+    return _tail(((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+
+
+def battery(token):
+    """The joint p-value of a token, character by character."""
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        e = 16
+    elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", token):
+        e = 36
+    else:
+        e = 64
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    low = "0123456789abcdefghijklmnopqrstuvwxyz"
+    v = [low.index(c.lower()) if e < 64 else wide.index(c) if c in wide else 62 if c in "+-" else 63 for c in token]
+    n = len(v)
+    b = 16 if n >= 40 else 8
+    cells = Counter(int(x / (e / b)) for x in v)
+    chi = sum((cells[k] - n / b) ** 2 / (n / b) for k in range(b))
+    p1 = _chi(max(chi, 1e-9), b - 1)
+    high = sum(x >= e / 2 for x in v)
+    runs = 1 + sum((a >= e / 2) != (b >= e / 2) for a, b in zip(v, v[1:]))
+    mean = 2 * high * (n - high) / n + 1
+    var = (mean - 1) * (mean - 2) / max(n - 1, 1)
+    p2 = 1e-6 if var <= 0 else 2 * _tail(abs(runs - mean) / math.sqrt(max(var, 1e-9)))
+    mid = sum(v) / n
+    ss = sum((x - mid) ** 2 for x in v)
+    lag = sum((a - mid) * (b - mid) for a, b in zip(v, v[1:]))
+    p3 = 1e-6 if ss <= 0 else 2 * _tail(abs(lag / max(ss, 1e-9) + 1 / n) * math.sqrt(n))
+    return _chi(max(-2 * sum(math.log(min(1, max(p, 1e-12))) for p in (p1, p2, p3)), 1e-9), 6)
+
+
+def random_spans(texts, bands, cuts, share, alpha):
+    """Per text the added spans; ``share(band, cut number)`` is the decoys' part that reaches a cut."""
+    found = []
+    for t in texts:
+        base = [tuple(map(int, x.split(":")[1:])) for x in secret_base(t)[4]]
+        own = []
+        for m in CANDIDATE.finditer(t or ""):
+            s, e = m.span()
+            if re.search("[A-Za-z]", m[0]) and not any(a < e and s < b for a, b in base):
+                own.append((s, e, battery(m[0]), sum(e - s >= x for x in bands)))
+        found.append(own)
+    least = {}
+    for band in {x[3] for own in found for x in own}:
+        p = [x[2] for own in found for x in own if x[3] == band]
+        for k, c in enumerate(cuts):
+            hits = sum(x >= c for x in p)
+            if hits and share(band, k) * len(p) <= alpha * hits:
+                least[band] = c
+                break
+    return [[(s, e) for s, e, p, band in own if p >= least.get(band, 2)] for own in found]
