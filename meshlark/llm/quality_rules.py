@@ -174,22 +174,24 @@ def verdict(rules: list[list[Term]]) -> Column:
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> list[list[Term]]:
     """Rules from at most ``fit_rows`` labelled ids, the first by XXH64 of the id.
 
-    Rows without id or label teach nothing; of several labels of an id the smallest counts.
+    Rows without id or label teach nothing; of several labels of an id the smallest counts, of several texts of an id the one whose
+    statistics come first in order, so equal tables give equal rules in whatever order their rows come.  A null text counts as an empty one;
+    no labels or no documents give no rules.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("__id")).agg(F.min(label_col).alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     some = df.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    stats = statistics(some, "__text", ["__id", "__y"]).select("__id", "__y", *[feature(n).alias(n) for n in FEATURES])
-    seen, rows = set(), []
-    for r in sorted(stats.dropDuplicates(["__id"]).collect(), key=lambda r: r["__id"]):
-        if r["__id"] not in seen:
-            seen.add(r["__id"])
-            rows.append(({n: float(r[n]) for n in FEATURES}, r["__y"] == 0))
-    return learn(rows)
+    stats = statistics(some, "__text", ["__id", "__y"]).select("__id", "__y", F.struct(*[feature(n).cast("double").alias(n) for n in FEATURES]).alias("f"))
+    seen = stats.groupBy("__id").agg(F.min("__y").alias("y"), F.min("f").alias("f")).collect()
+    return learn([({n: r["f"][n] for n in FEATURES}, r["y"] == 0) for r in sorted(seen, key=lambda r: r["__id"])])
 
 
 def judge(df: DataFrame, rules: list[list[Term]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, statistics, base_failed and kept of every row; repeated rows each give one."""
+    """doc_id, statistics, base_failed and kept of every row.
+
+    A null or empty text has no words and so fails the base.  Texts of any length are counted whole.  Repeated rows each give a row, an empty
+    table none; other columns, whatever their names, are ignored.
+    """
     s = statistics(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text")), "__text", ["doc_id"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return s.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
