@@ -79,5 +79,51 @@ FROM doc LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 """
 
 
+
+def _license_sql() -> str:
+    """Templates as regular expressions over the joined words, base phrases place by place."""
+    words = _WORDS.format("text")
+    place = " UNION ALL ".join(
+        f"SELECT k, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r})) AS place FROM doc" for p, label in license_scan.PHRASES.items()
+    )
+    template = " UNION ALL ".join(f"SELECT k, '{label}' AS label FROM doc WHERE regexp_matches(joined, '{license_scan.as_pattern(text)}')" for label, text in license_scan.TEMPLATES.items())
+    return f"""
+WITH plain AS (SELECT row_number() OVER () AS k, doc_id, coalesce({words}, []) AS w FROM documents),
+doc AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM plain),
+place AS ({place}),
+base AS (SELECT k, count(*) AS n, min(place) - 1 AS first, max(place) - 1 AS last FROM place GROUP BY k),
+own AS (SELECT DISTINCT k, label FROM place),
+own_list AS (SELECT k, string_agg(label, ',' ORDER BY label) AS said FROM own GROUP BY k),
+template AS ({template}),
+every AS (SELECT k, string_agg(label, ',' ORDER BY label) AS said FROM (SELECT k, label FROM own UNION SELECT k, label FROM template) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
+       coalesce(own_list.said, '') AS base_labels, coalesce(every.said, '') AS labels,
+       CAST(CASE WHEN k IN (SELECT k FROM template) THEN 1.0 WHEN n > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+FROM doc LEFT JOIN base USING (k) LEFT JOIN own_list USING (k) LEFT JOIN every USING (k)
+"""
+
+
+#: crc32 of an id as text, bit by bit: a byte goes in, then eight shifts (-1).
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+#: Ranked n-grams of one to three characters over letters with single spaces between and around, and their places' distance.
+LANGUAGE = f"""
+WITH doc AS (SELECT row_number() OVER () AS k, doc_id, lang, {_CRC.format("doc_id")} % 5 AS fold, text IS NOT NULL AS has,
+             ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents),
+pos AS (SELECT k, unnest(list_zip(c, c[2:], c[3:])) AS p FROM (SELECT k, string_split(t, '') AS c FROM doc WHERE t <> '  ')),
+cut AS (SELECT k, p[1] AS g FROM pos UNION ALL SELECT k, p[1] || p[2] FROM pos WHERE p[2] IS NOT NULL UNION ALL SELECT k, p[1] || p[2] || p[3] FROM pos WHERE p[2] <> ' ' AND p[3] IS NOT NULL),
+gram AS (SELECT k, g, count(*) AS n FROM cut WHERE g <> ' ' AND g <> '' GROUP BY k, g),
+size AS (SELECT k, g, n, length(g) AS l FROM gram),
+own AS (SELECT k, g, row_number() OVER (PARTITION BY k ORDER BY n DESC, l, g) - 1 AS r FROM size QUALIFY r < 400),
+learnt AS (SELECT lang, g, sum(n) AS n FROM size JOIN doc USING (k) WHERE fold <> 0 AND lang IS NOT NULL AND doc.has GROUP BY lang, g),
+profile AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) - 1 AS r FROM learnt QUALIFY r < 400),
+far AS (SELECT k, langs.lang, count(*) AS m, sum(coalesce(abs(profile.r - own.r), 400)) AS d
+        FROM own CROSS JOIN (SELECT DISTINCT lang FROM profile) langs LEFT JOIN profile ON profile.lang = langs.lang AND profile.g = own.g GROUP BY k, langs.lang),
+best AS (SELECT k, lang, 1.0::DOUBLE - d::DOUBLE / (400 * m)::DOUBLE AS score FROM far QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, lang) = 1)
+SELECT doc_id, coalesce(fold = 0, false) AS held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM doc LEFT JOIN best USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fm_decontamination": DECONTAMINATION}
+    return {"op4_fm_decontamination": DECONTAMINATION, "op5_license_templates": _license_sql(), "op10_rank_order": LANGUAGE}

@@ -514,11 +514,67 @@ def test_token_counts(spark, docs):
             total = sum(lengths)
             starts = [0, *sorted(r.sample(range(1, total), min(total - 1, r.randint(0, 4))))] if total > 1 else [0]
             owner = [max(k for k, s in enumerate(starts) if s <= b) for b in range(total)]
-            want, cross, at = [0] * len(starts), 0, 0
+            want, cross, at, begin = [0] * len(starts), 0, 0, []
             for n in lengths:
                 own = owner[at : at + n]
                 cross += len(set(own)) > 1
                 want[own[0] if rule == "first" else max(sorted(set(own)), key=own.count)] += 1
+                begin.append(at)
                 at += n
-            got, n_cross = token_spans.attribute(np.array(lengths, np.int64), np.array(starts), total, rule)
+            begin = np.array(begin, np.int64)
+            got, n_cross = token_spans.attribute(begin, begin + np.array(lengths, np.int64), np.array(starts), total, rule)
             assert (got.tolist(), n_cross) == (want, cross)
+
+
+def test_tokens_through_the_query(spark, docs):
+    """Every document, token by token and character by character."""
+    import re
+
+    import tiktoken
+
+    ranks = token_spans.read_ranks(token_spans.RANKS)
+    enc = tiktoken.Encoding("own", pat_str=token_spans.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: r for r in queries.op9_offset_tokens(spark, SF).collect()}
+    for i, t in docs:
+        lines = re.findall("[^\n]*\n|[^\n]+", t or "")
+        owner = [k for k, x in enumerate(lines) for _ in x]
+        want, cross, byte, char_of = [0] * len(lines), 0, 0, [k for k, c in enumerate(t or "") for _ in c.encode()]
+        ids = enc.encode_ordinary(t or "")
+        for x in ids:
+            n = len(enc.decode_single_token_bytes(x))
+            own = owner[char_of[byte] : char_of[byte + n - 1] + 1]
+            want[max(sorted(set(own)), key=own.count)] += 1
+            cross += len(set(own)) > 1
+            byte += n
+        r = got[i]
+        assert (r["n_tokens"], r["n_bytes"], r["n_sections"], r["n_crossing"]) == (len(ids), byte, len(lines), cross)
+        assert r["section_tokens"] == ",".join(map(str, want))
+
+
+def test_tokens_of_fields(spark):
+    d = spark.createDataFrame([(1, "a title", "some text\nof two lines", 3), (2, None, "text", 4), (3, "é", "", 5), (4, None, None, 6)], "doc_id bigint, title string, body string, n_tokens int")
+    got = {r["doc_id"]: r for r in token_spans.count_tokens(d, fields=["title", "body"]).collect()}
+    assert [got[k]["section_starts"] for k in (1, 2, 3, 4)] == [[0, 8], [0, 1], [0, 2], [0, 1]]
+    assert all(sum(r["section_tokens"]) == r["n_tokens"] and r["n_sections"] == 2 for r in got.values())
+
+
+def test_long_runs_of_one_character(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=token_spans.PATTERN, mergeable_ranks=token_spans.read_ranks(token_spans.RANKS), special_tokens={})
+    for c in " \n\t\u3000":
+        for t in (c * 9000, "a" + c * 7000 + "b" + c * 6000, c * 6000 + " b", "x " + c * 8000 + ".", c * 5001 + "\n" + c * 5001 + "\x1c" + c * 5003 + "7"):
+            assert token_spans.token_ids(enc, t) == enc.encode_ordinary(t)
+    rows = [(k, c * 1_200_000 + "end") for k, c in enumerate((" ", "\n", "x", "7", "."))]
+    for r in token_spans.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert r["n_bytes"] == 1_200_003 and sum(r["section_tokens"]) == r["n_tokens"]
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = docs + [(i, "other text " * 30) for i, _ in docs[::3]]
+    rules = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        rules.append(quality_rules.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels))
+    assert rules[0] == rules[1] and rules[0]
