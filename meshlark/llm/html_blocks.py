@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 192, 48, 8, 20
+PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 192, 48, 10, 24
 DIM = PATH_DIM + WORD_DIM + FIGURES
-PAGES, EPOCHS = 900, 9
+PAGES, EPOCHS = 1300, 9
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A tag's inside up to its end; quotes hold after an equals sign alone, and nothing is tried twice.
+_INSIDE = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]?+)|["'])*+""")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 # Element names.
@@ -37,26 +39,69 @@ SKIPPED = frozenset("script style noscript template textarea select option svg m
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+class Node:
+    """An open element: its name, class, id and role words, and the hash slots of the path down to it as bits."""
+
+    __slots__ = ("name", "slots", "depth", "up")
+
+    def __init__(self, name: str, said: str, up: Node | None):
+        self.name, self.up, self.depth = name, up, up.depth + 1 if up else 1
+        own = {_slot(f"n:{name}", PATH_DIM), *(_slot(f"c:{w}", PATH_DIM) for w in _WORD.findall(said))}
+        self.slots = (up.slots if up else 0) | sum(1 << k for k in own)
+
+
 class Block:
-    __slots__ = ("path", "text", "links", "linked")
+    __slots__ = ("node", "text", "links", "linked")
+
+    def __init__(self, node: Node | None, text: str, links: int, linked: int):
+        self.node, self.text, self.links, self.linked = node, text, links, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self.node
+        while node:
+            out.append(node.name)
+            node = node.up
+        return tuple(reversed(out))
+
+
+class _Ends:
+    """Where the end tags of skipped elements stand, found from left to right."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, set()
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int, linked: int):
-        self.path, self.text, self.links, self.linked = path, text, links, linked
+    def after(self, name: str, pos: int) -> int:
+        """Position behind the next end tag of ``name``, -1 for none."""
+        if name in self.none:
+            return -1
+        m = _END_OF[name].search(self.page, pos)
+        if not m:
+            self.none.add(name)
+            return -1
+        return m.end()
+
+
+_END_OF = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+>?", re.I) for n in SKIPPED}
+_BODY = re.compile(r"<body\b", re.I)
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Blocks with a word, in page order.
+    """Blocks with a word, in page order, in time that grows with the page's length alone.
 
     Ends that are left out are implied: a block tag ends an open p, and li, dt, dd, td, th, tr end
-    their like.  ``br`` is white space.  Scripts, styles and such are passed over with their content.
+    their like.  ``br`` is white space.  Scripts, styles and such are passed over with their content, up to their own end tag
+    whatever stands in it; a script, style or textarea that never ends takes the rest of the page, other such elements without an end are no more than a tag.
+    A < that no tag, comment or declaration follows is text.
     """
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Node] = []
+    open_names: dict[str, int] = {}
     buf: list[str] = []
     links = linked = link_depth = 0
-    pos, skip = 0, None
+    ends, last, pos, size = _Ends(page), page.rfind(">"), 0, len(page)
 
     def flush() -> None:
         nonlocal links, linked
@@ -64,70 +109,99 @@ def leaf_blocks(page: str | None) -> list[Block]:
             raw = "".join(buf)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(tuple(x for _, x in stack), text, links, linked))
+                out.append(Block(stack[-1] if stack else None, text, links, linked))
             buf.clear()
         links, linked = 0, 0
 
-    for m in _TAG.finditer(page):
-        if skip is None and m.start() > pos:
-            piece = page[pos : m.start()]
+    def say(piece: str) -> None:
+        nonlocal linked
+        if piece:
             buf.append(piece)
             if link_depth:
                 linked += len(piece)
-        pos = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA[") and skip is None:
-                buf.append(m[0][9:].removesuffix("]]>"))
-            continue
-        closing = bool(m[1] or m[4])
-        if skip is not None:
-            if closing and name == skip:
-                skip = None
+
+    def pop(k: int) -> None:
+        for n in stack[k:]:
+            open_names[n.name] -= 1
+        del stack[k:]
+
+    while pos < size:
+        at = page.find("<", pos)
+        if at < 0 or at > last and not page.startswith("<!", at):
+            break
+        m = _NAME.match(page, at + 1)
+        if not m:
+            if page.startswith("<!--", at):
+                say(page[pos:at])
+                end = page.find("-->", at + 4)
+                pos = size if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", at):
+                say(page[pos:at])
+                end = page.find("]]>", at + 9)
+                say(page[at + 9 : size if end < 0 else end])
+                pos = size if end < 0 else end + 3
+            elif page[at + 1 : at + 2] in ("!", "?"):
+                say(page[pos:at])
+                end = page.find(">", at)
+                pos = size if end < 0 else end + 1
+            else:
+                say(page[pos : at + 1])
+                pos = at + 1
             continue
-        attrs = m[3] or m[6] or ""
+        inside = _INSIDE.match(page, m.end())
+        end = inside.end()
+        if end >= size:  # no end: a quote that never closes takes in the tag alone
+            end = page.find(">", m.end())
+        say(page[pos:at])
+        name, attrs, pos = m[0].lower(), page[m.end() : end], end + 1
+        closing = name[0] == "/"
+        if closing:
+            name = name[1:]
         if name in SKIPPED:
             if not closing and not attrs.endswith("/"):
-                if name in ("head", "title"):
-                    # content of head is passed over up to its end or the body
-                    end = re.compile(rf"</{name}\s*>|<body\b", re.I).search(page, pos)
-                    skip = name if end and end[0].startswith("</") else None
-                elif name not in VOID and re.compile(rf"</{name}\s*>", re.I).search(page, pos):
-                    skip = name
+                end = ends.after(name, pos)
+                if name in ("head", "title"):  # passed over up to the end or the body
+                    body = _BODY.search(page, pos, end) if end >= 0 else None
+                    pos = body.start() if body else end if end >= 0 else pos
+                elif end >= 0:
+                    pos = end
                 elif name in ("script", "style", "textarea"):
-                    skip = name  # never closed: the rest of the page belongs to it
+                    pos = size  # never closed: the rest of the page belongs to it
             continue
         if name == "br":
             buf.append(" ")
         elif name == "a":
-            link_depth = max(0, link_depth + (-1 if closing else 1)) if closing else 1
+            link_depth = 0 if closing else 1
             links += not closing
         if name not in BLOCKS:
             continue
         flush()
         link_depth = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_names.get(name):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                pop(k)
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+        if stack and stack[-1].name == "p":
+            pop(len(stack) - 1)
         if name in ("li", "dt", "dd", "td", "th", "tr"):
             like = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
             stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",)}.get(name, ("table", "tr"))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in stop:
-                    break
-                if stack[k][0] in like:
-                    del stack[k:]
-                    break
+            if any(open_names.get(x) for x in like):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].name in stop:
+                        break
+                    if stack[k].name in like:
+                        pop(k)
+                        break
         if name != "hr":
             said = " ".join(x for a in _ATTR.finditer(attrs) for x in a.groups()[1:] if x).lower() if "=" in attrs else ""
-            stack.append((name, f"{name} {said}"))
-    if skip is None and pos < len(page):
-        buf.append(page[pos:])
+            stack.append(Node(name, said, stack[-1] if stack else None))
+            open_names[name] = open_names.get(name, 0) + 1
+    if pos < size:
+        say(page[pos:])
     flush()
     return out
 
@@ -136,17 +210,14 @@ def _slot(word: str, dim: int) -> int:
     return zlib.crc32(word.encode()) % dim
 
 
-def path_slots(path: tuple[str, ...]) -> list[int]:
-    """Hash slots of a tag path: names by nearness to the leaf, and class and id words."""
-    out = []
-    for k, node in enumerate(reversed(path)):
-        name, _, said = node.partition(" ")
-        out.append(_slot(f"n:{name}", PATH_DIM))
-        if k < 2:
-            out.append(_slot(f"{k}:{name}", PATH_DIM))
-        for w in _WORD.findall(said):
-            out.append(_slot(f"c:{w}", PATH_DIM))
-    return out
+def path_bits(node: Node | None) -> int:
+    """Hash slots of a tag path as bits: all names, class and id words, and the names of the two nearest elements by their place."""
+    bits = node.slots if node else 0
+    for k in range(2):
+        if node:
+            bits |= 1 << _slot(f"{k}:{node.name}", PATH_DIM)
+            node = node.up
+    return bits
 
 
 class _Slots(dict):
@@ -162,20 +233,22 @@ class _Slots(dict):
 def vectors(blocks: list[Block], slots: _Slots | None = None) -> np.ndarray:
     slots = _Slots() if slots is None else slots
     x = np.zeros((len(blocks), DIM), np.float32)
-    paths: dict[tuple[str, ...], list[int]] = {}
+    paths: dict[int, np.ndarray] = {}
     cells: list[int] = []
     scale = np.empty(len(blocks), np.float32)
     for k, b in enumerate(blocks):
-        path = paths.get(b.path)
+        path = paths.get(id(b.node))
         if path is None:
-            path = paths[b.path] = path_slots(b.path)
-        x[k, path] = 1
+            path = paths[id(b.node)] = np.unpackbits(np.frombuffer(path_bits(b.node).to_bytes(PATH_DIM // 8, "little"), np.uint8), bitorder="little")
+        x[k, :PATH_DIM] = path
         words = b.text.lower().split()
         base = k * WORD_DIM
         cells += [base + slots[w] for w in words]
         scale[k] = 1 / max(4, len(words))
-        n = len(b.text)
-        x[k, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 8, min(1.0, b.linked / n), min(1.0, b.links / 4), k / len(blocks), 1 / (k + 1), b.text[-1] in ".!?", n < 40, len(b.path) / 12)
+        n, t = len(b.text), b.text
+        depth = b.node.depth if b.node else 0
+        digits = sum(map(t.count, "0123456789"))
+        x[k, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 8, min(1.0, b.linked / n), min(1.0, b.links / 4), k / len(blocks), 1 / (k + 1), t[-1] in ".!?", n < 40, min(depth, 24) / 12, digits / n, len(words) < 4)
     if blocks:
         x[:, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(cells, minlength=len(blocks) * WORD_DIM).reshape(len(blocks), WORD_DIM) * scale[:, None]
     return x
@@ -276,27 +349,27 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Words of class and id names and tags by the role of a region.
 ROLES = {
-    "menu": (["nav", "ul", "div", "menu"], "nav navbar menu navigation topnav mainmenu breadcrumb breadcrumbs links tabs pagination pager toc skip"),
-    "header": (["header", "div"], "header masthead topbar site banner logo branding head top"),
-    "footer": (["footer", "div"], "footer foot bottom colophon copyright legal site"),
-    "sidebar": (["aside", "div", "section"], "sidebar side widget rail secondary related recommended popular trending aside more tags"),
-    "notice": (["div", "section", "p", "dialog"], "notice cookie cookies consent gdpr alert banner message newsletter popup modal toast subscribe overlay"),
-    "advert": (["div", "section", "aside", "p"], "ad ads advert advertisement sponsor sponsored promo promotion adsense adbox banner commercial"),
-    "form": (["form", "div"], "form search login signup subscribe contact newsletter"),
-    "comments": (["section", "div", "ol", "ul"], "comments comment replies reply respond discussion disqus thread responses feedback reader"),
-    "share": (["div", "ul"], "share social sharing buttons follow meta byline author"),
+    "menu": (["nav", "ul", "div", "menu"], "nav navbar menu navigation topnav mainmenu breadcrumb breadcrumbs links tabs pagination pager toc skip navi menue hauptmenu menuprincipal navegacion"),
+    "header": (["header", "div"], "header masthead topbar site banner logo branding head top kopf entete cabecera"),
+    "footer": (["footer", "div", "p"], "footer foot bottom colophon copyright legal site fuss fusszeile pied pie"),
+    "sidebar": (["aside", "div", "section"], "sidebar side widget rail secondary related recommended popular trending aside more tags seitenleiste barre lateral"),
+    "notice": (["div", "section", "p", "dialog"], "notice cookie cookies consent gdpr alert banner message newsletter popup modal toast subscribe overlay hinweis avis aviso"),
+    "advert": (["div", "section", "aside", "p"], "ad ads advert advertisement sponsor sponsored promo promotion adsense adbox banner commercial werbung anzeige publicite publicidad"),
+    "form": (["form", "div"], "form search login signup subscribe contact newsletter suche recherche buscar formular"),
+    "comments": (["section", "div", "ol", "ul"], "comments comment replies reply respond discussion disqus thread responses feedback reader kommentare commentaires comentarios"),
+    "share": (["div", "ul"], "share social sharing buttons follow meta byline author teilen partager compartir"),
 }
-ARTICLE = (["article", "main", "div", "section"], "article post content entry main story body text page prose single blog news")
+ARTICLE = (["article", "main", "div", "section"], "article post content entry main story body text page prose single blog news inhalt artikel beitrag contenu contenido texte")
 STOCK = {
-    "menu": "home about contact news products services blog login menu more next previous archive help",
-    "header": "welcome menu search site home news daily",
-    "footer": "copyright rights reserved privacy policy terms contact imprint impressum sitemap powered ©",
-    "sidebar": "related popular recent posts tags archive categories read also more",
-    "notice": "cookies accept we use this site consent policy agree subscribe newsletter",
-    "advert": "sponsored advertisement buy now offer sale discount click free shop",
-    "form": "name email password search submit send login subscribe your message",
-    "comments": "reply said comment comments says posted ago like report user",
-    "share": "share tweet facebook by author published updated posted on",
+    "menu": "home about contact news products services blog login menu more next previous archive help start kontakt über accueil produits inicio noticias contacto",
+    "header": "welcome menu search site home news daily willkommen bienvenue bienvenido",
+    "footer": "copyright rights reserved privacy policy terms contact imprint impressum sitemap powered © datenschutz agb mentions légales confidentialité aviso legal privacidad",
+    "sidebar": "related popular recent posts tags archive categories read also more beliebt ähnliche artikel populaires récents recientes",
+    "notice": "cookies accept we use this site consent policy agree subscribe newsletter wir verwenden akzeptieren nous utilisons accepter usamos aceptar",
+    "advert": "sponsored advertisement buy now offer sale discount click free shop anzeige jetzt kaufen angebot publicité achetez offre publicidad compre oferta",
+    "form": "name email password search submit send login subscribe your message absenden suche passwort envoyer rechercher enviar buscar",
+    "comments": "reply said comment comments says posted ago like report user antworten kommentar schreibt répondre commentaire responder comentario",
+    "share": "share tweet facebook by author published updated posted on teilen von veröffentlicht partager par publié compartir por publicado",
 }
 
 
@@ -305,7 +378,7 @@ def practice_page(seed: int) -> tuple[str, list[bool]]:
     r = random.Random(seed)
     syl = ["".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiouéäñ") + r.choice(["", "n", "r", "st"]) for _ in range(1)) for _ in range(40)]
     marks: list[bool] = []
-    junk = r.choice(("", "", "", "### $$$ *** %%% &amp;&amp;&amp;", "!! !", "| -"))  # some pages have odd marks after every word, some shout
+    junk = " ".join(r.choice(("#", "$", "*", "%", "&amp;", "!", "|", "-", "=", "~", "+")) * r.randint(1, 3) for _ in range(r.randint(1, 5))) if r.random() < 0.4 else ""  # odd marks after words
     shout = r.random() < 0.1
     plain = lambda: "".join(r.choice(syl) for _ in range(r.choice((1, 1, 2, 2, 3))))
 
@@ -315,9 +388,13 @@ def practice_page(seed: int) -> tuple[str, list[bool]]:
 
     sentence = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi))).capitalize() + r.choice((".", ".", ".", "!", "?"))
 
+    bare, strange = r.random() < 0.15, r.random() < 0.15  # pages without class and id names, or with names that say nothing
+
     def attrs(names: str, always: bool = False) -> str:
-        if not always and r.random() < 0.3:
+        if bare or (not always and r.random() < 0.3):
             return ""
+        if strange and r.random() < 0.8:
+            return f' class="{plain()}{r.randint(1, 99)}"'
         picked = r.sample(names.split(), r.choice((1, 1, 2)))
         said = r.choice(("-", "_", " ")).join(picked) + r.choice(("", "", "", "-1", "-box", " clearfix"))
         return f' {r.choice(("class", "class", "id"))}="{said}"'
@@ -366,7 +443,8 @@ def practice_page(seed: int) -> tuple[str, list[bool]]:
     def article() -> str:
         tag = r.choice(ARTICLE[0])
         wrap = r.random() < 0.4
-        out = (f"<div{attrs(ARTICLE[1] + ' container wrapper', True)}>" if wrap else "") + f"<{tag}{attrs(ARTICLE[1], tag in ('div', 'section'))}>"
+        alone = r.random() < 0.12  # an article without an element of its own
+        out = "" if alone else (f"<div{attrs(ARTICLE[1] + ' container wrapper', True)}>" if wrap else "") + f"<{tag}{attrs(ARTICLE[1], tag in ('div', 'section'))}>"
         if r.random() < 0.85:
             out += block(r.choice(("h1", "h1", "h2")), sentence(2, 10).rstrip(".") + r.choice(("", ".")), True)
         if r.random() < 0.2:
@@ -382,15 +460,30 @@ def practice_page(seed: int) -> tuple[str, list[bool]]:
                 out += block("p", text, True)
             elif kind < 0.87:
                 out += block(r.choice(("h2", "h3")), sentence(1, 6), True)
-            elif kind < 0.91:
-                out += "<ul>" + "".join(block("li", sentence(1, 10), True) for _ in range(r.randint(1, 4))) + "</ul>"
-            elif kind < 0.94:
-                out += block(r.choice(("blockquote", "pre", "figcaption", "div")), sentence(3, 25), True)
+            elif kind < 0.90:
+                tag2 = r.choice(("ul", "ul", "ol"))
+                short = r.random() < 0.4
+                out += f"<{tag2}>" + "".join(block("li", word() if short and r.random() < 0.7 else sentence(1, 12), True) for _ in range(r.randint(1, 7))) + f"</{tag2}>"
+            elif kind < 0.915:
+                cols, number = r.randint(2, 4), lambda: r.choice((str(r.randint(0, 2100)), f"{r.random() * 100:.1f}", f"{r.randint(1, 99)} %"))
+                out += "<table" + attrs("table data values results wikitable") + ">"
+                if r.random() < 0.7:
+                    out += "<tr>" + "".join(block(r.choice(("th", "th", "td")), word().capitalize(), True) for _ in range(cols)) + "</tr>"
+                for _ in range(r.randint(1, 5)):
+                    out += "<tr>" + "".join(block("td", number() if c and r.random() < 0.7 else r.choice((word(), sentence(1, 4))), True) for c in range(cols)) + "</tr>"
+                out += "</table>"
+            elif kind < 0.925:
+                out += "<dl>" + "".join(block("dt", word(), True) + block("dd", sentence(1, 9), True) for _ in range(r.randint(1, 4))) + "</dl>"
+            elif kind < 0.935:
+                code = "\n".join(f"{word()}{r.choice(('(', ' = ', '.', '[', ': '))}{word()}{r.choice((')', ';', '', ']', ' {'))}" for _ in range(r.randint(1, 8)))
+                out += block("pre", r.choice(("", "<code>")) + code, True)
+            elif kind < 0.955:
+                out += block(r.choice(("blockquote", "pre", "figcaption", "div", "summary", "h4", "caption")), sentence(1, 25), True)
             else:
                 out += other(r.choice(("advert", "advert", "sidebar", "share", "notice", "form")))
         if r.random() < 0.15:
             out += other("comments")
-        return out + f"</{tag}>" + ("</div>" if wrap else "")
+        return out + ("" if alone else f"</{tag}>" + ("</div>" if wrap else ""))
 
     page = f"<!DOCTYPE html><html><head><title>{sentence(2, 6)}</title><style>p{{margin:0}}</style></head><body>"
     before = [x for x in ("header", "menu", "notice", "advert", "form", "sidebar") if r.random() < (0.75 if x in ("menu",) else 0.4)]
@@ -451,7 +544,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """page_id, url, text, n_chars, n_blocks, n_article of every row.
 
     ``text`` joins the article blocks by one newline; a null or empty page, or one without an article block, gives
-    an empty text.  Repeated rows each give a row; other columns are ignored.
+    an empty text.  Pages of any length are read whole.  Repeated rows each give a row, an empty table none; other columns, whatever their names, are ignored.
     """
     weights = (net or trained()).p
     bc = df.sparkSession.sparkContext.broadcast(weights)
