@@ -228,3 +228,32 @@ def random_spans(texts, bands, cuts, share, alpha):
                 least[band] = c
                 break
     return [[(s, e) for s, e, p, band in own if p >= least.get(band, 2)] for own in found]
+
+
+def class_scores(rows, classes, count_of, smooth=5.0, n_classes=48):
+    """rows: (id, text); classes: word -> class of the head words (others: 1, the end: 0) -> log10 probability of each text."""
+    toks = [WORDS.findall(low(t)) for _, t in rows]
+    c, pairs = Counter(), Counter()
+    for (i, _), w in zip(rows, toks):
+        if i is not None and rem(i) != 1:
+            c.update(w)
+            c[None] += 1
+            k = [0, *(classes.get(x, 1) for x in w), 0]
+            pairs.update(zip(k, k[1:]))
+    past = sum(n + 0.5 for w, n in c.items() if w is not None and w not in classes) + 0.5
+    mass = Counter({0: c[None], 1: past})
+    for w, k in classes.items():
+        mass[k] += c[w]
+    whole, before = sum(mass.values()), Counter()
+    for (a, _), n in pairs.items():
+        before[a] += n
+    out = []
+    for w in toks:
+        k = [0, *(classes.get(x, 1) for x in w), 0]
+        total = 0.0
+        for a, b in zip(k, k[1:]):
+            total += log10((pairs[a, b] + smooth * mass[b] / whole) / (before[a] + smooth))
+        for x in w:
+            total += log10(c[x] / mass[classes[x]]) if x in classes else log10((c[x] + 0.5) / past)
+        out.append(total)
+    return out

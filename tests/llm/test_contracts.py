@@ -355,43 +355,81 @@ def test_unigram_base_and_model(spark, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("head", [1 << 17, 2000, 300])
+def test_class_scores(spark, docs, head):
+    """Scores against a plain version, with the classes taken from the model."""
+    df = spark.createDataFrame(docs, "id bigint, t string").selectExpr("id", "coalesce(t, '') t")
+    rows = df.where("crc32(cast(cast(id as string) as binary)) % 5 <> 1").select("t")
+    model = brown_lm.train(rows, brown_lm.word_counts(rows), head)
+    classes = {w.decode(): int(model.classes[k]) for w, k in model.head.items()}
+    assert len(classes) <= head and set(classes.values()) <= set(range(2, brown_lm.CLASSES))
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score(df, "id", "t", head=head).collect()}
+    want = brute.class_scores(docs, classes, None)
+    assert [got[i] for i, _ in docs] == pytest.approx(want, rel=1e-9)
+
+
+def test_scores_of_held_out_texts(spark, docs):
+    held = [r for r in brown_lm.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in held)
+    ours, base = (10 ** (-sum(r[c] for r in held) / n) for c in ("score", "base_score"))
+    assert ours < base
+
+
 def test_model_is_a_distribution(spark):
     rows = [(k, t) for k, t in enumerate(["a b a c", "b a d", "a a b", "c d a b", "e f g a", "g"] * 3)]
     docs = spark.createDataFrame(rows, "id bigint, t string").select("t")
     counts = brown_lm.word_counts(docs)
-    m = brown_lm.train(docs, counts)
-    assert np.allclose((10**m.move).sum(1), 1)
     seen = {bytes(r["w"]): r["n"] for r in counts.collect()}
-    mass = np.zeros(brown_lm.CLASSES)
-    mass[m.classes[m.end]] += 10 ** m.emit[m.end]
-    for g in range(brown_lm.GROUPS):
-        item = brown_lm.TOP + g
-        mass[m.classes[item]] += 10 ** m.emit[item] * 0.5
-    for w, k in m.head.items():
-        mass[m.classes[m.head_item[k]]] += 10 ** m.emit[m.head_item[k]] * (1 if m.head_item[k] < brown_lm.TOP else seen[w] + 0.5)
-    used = np.unique(m.classes)
-    assert np.allclose(mass[used][mass[used] > 0], 1)
+    for head in (1 << 17, 3):
+        m = brown_lm.train(docs, counts, head)
+        assert np.allclose((10**m.move).sum(1), 1)
+        mass = np.zeros(brown_lm.CLASSES)
+        for k in range(len(m.head)):
+            mass[m.classes[k]] += 10 ** m.emit[k]
+        mass[brown_lm.PAST] = sum(10 ** m.emit[-1] * (n + 0.5) for w, n in [*seen.items(), (None, 0)] if w != b"" and w not in m.head)
+        assert np.allclose(mass[mass > 0], 1)
+
+
+def test_words_join_the_likeliest_class():
+    r = np.random.default_rng(4)
+    c = brown_lm.CLASSES
+    n = r.integers(0, 30, (c, c)).astype(float)
+    right, left = r.integers(0, 4, (40, c)).astype(float), r.integers(0, 4, (40, c)).astype(float)
+
+    def likelihood(x):
+        f = lambda v: (v[v > 0] * np.log(v[v > 0])).sum()
+        return f(x) - f(x.sum(0)) - f(x.sum(1))
+
+    got = brown_lm.likeliest(n, right, left)
+    for k in range(40):
+        rows, cols = n.sum(1), n.sum(0)
+        best = []
+        for j in range(2, c):  # the class's own counts alone change
+            f = lambda v: np.where(v > 0, v * np.log(np.maximum(v, 1e-300)), 0)
+            gain = f(n[j] + right[k]).sum() - f(n[j]).sum() + f(n[:, j] + left[k]).sum() - f(n[:, j]).sum()
+            best.append(gain - f(rows[j] + right[k].sum()) + f(rows[j]) - f(cols[j] + left[k].sum()) + f(cols[j]))
+        assert best[got[k] - 2] == pytest.approx(max(best))
 
 
 def test_exchange_raises_the_likelihood():
     r = np.random.default_rng(1)
-    b = np.zeros((41, 41), np.int64)
+    b = np.zeros((42, 42), np.int64)
     for _ in range(4000):  # two kinds of words that follow each other in turn
         a = r.integers(0, 20)
         b[a, 20 + r.integers(0, 20)] += 1
         b[20 + r.integers(0, 20), r.integers(0, 20)] += 1
-    b[40, 0] = b[0, 40] = 5
+    b[41, 0] = b[0, 41] = 5
 
     def likelihood(own):
-        n = np.zeros((3, 3))
-        np.add.at(n, (own[:, None].repeat(41, 1), own[None].repeat(41, 0)), b)
+        n = np.zeros((4, 4))
+        np.add.at(n, (own[:, None].repeat(42, 1), own[None].repeat(42, 0)), b)
         f = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
         return f(n) - f(n.sum(0)) - f(n.sum(1))
 
-    own = brown_lm.exchange(b, classes=3)
-    start = np.concatenate([1 + np.arange(40) % 2, [0]])
+    own = brown_lm.exchange(b, classes=4)
+    start = np.concatenate([2 + np.arange(40) % 2, [1, 0]])
     assert likelihood(own) > likelihood(start)
-    assert len(set(own[:20])) == 1 and len(set(own[20:40])) == 1
+    assert len(set(own[:20])) == 1 and len(set(own[20:40])) == 1 and own[-2:].tolist() == [1, 0]
 
 
 def test_languages(spark):
