@@ -49,7 +49,7 @@ BLOCK = 1 << 15
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Bits in which fingerprints of similar texts may differ: 9.6 expected at similarity 0.8, deviation 2.9.
-WIDE = 26
+WIDE = 22
 #: Shingles of texts that are held in one task for comparison.
 HOLD = 1 << 20
 
@@ -134,10 +134,10 @@ def near_pairs(fps: np.ndarray, start: np.ndarray, sizes: np.ndarray, refs: np.n
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def near_stars(fps: np.ndarray, refs: np.ndarray, radius: int, accept: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def near_stars(fps: np.ndarray, refs: np.ndarray, radius: int, accept: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Index pairs that connect all that the pairs within the radius (and accepted) connect; one fewer than members at most.
 
-    A member is first tried against the first member of the largest cluster: if it joins, only those outside that cluster are left to compare.
+    ``accept``: of a member and others, which of these it may be linked to.  A member is first tried against the first member of the largest cluster: if it joins, only those outside that cluster are left to compare.
     """
     m, dist, out = len(fps), distances(fps, refs), []
     label, rest, big, lead, count = np.arange(m), np.empty(0, np.int64), -1, -1, np.ones(m, np.int64)
@@ -145,11 +145,12 @@ def near_stars(fps: np.ndarray, refs: np.ndarray, radius: int, accept: Callable[
     def near(i: int, among: np.ndarray) -> np.ndarray:
         for k in range(0, len(refs), 8):
             among = among[np.abs(dist[among, k : k + 8] - dist[i, k : k + 8]).max(axis=1, initial=0) <= radius]
-        return among[np.bitwise_count(fps[among] ^ fps[i]) <= radius]
+        among = among[np.bitwise_count(fps[among] ^ fps[i]) <= radius]
+        return among[accept(i, among)] if accept is not None and len(among) else among
 
     for i in range(1, m):
         hits = near(i, np.array([lead])) if big >= 0 else np.empty(0, np.int64)
-        if len(hits) and (accept is None or accept(i, lead)):
+        if len(hits):
             out.append((i, lead))
             label[i] = big
             count[big] += 1
@@ -159,7 +160,7 @@ def near_stars(fps: np.ndarray, refs: np.ndarray, radius: int, accept: Callable[
         moved = False
         for h in hits.tolist():
             a, b = label[i], label[h]
-            if a == b or (accept is not None and not accept(i, h)):
+            if a == b:
                 continue
             out.append((i, h))
             if count[a] < count[b]:
@@ -227,7 +228,7 @@ def bucket_links(bucketed: DataFrame, keys: list[str], n_pivots: int, radius: in
                 a, b = a[keep], b[keep]
             out = [np.stack([a, b], 1)]
             for s, k in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-                ok = (lambda i, j, s=s: bool(min(n[s + i], n[s + j]) >= ratio * max(n[s + i], n[s + j]))) if ratio else None
+                ok = (lambda i, js, s=s: np.minimum(n[s + i], n[s + js]) >= ratio * np.maximum(n[s + i], n[s + js])) if ratio else None
                 out.append(np.array(near_stars(fps[s : s + k], refs, radius, ok), np.int64).reshape(-1, 2) + s)
             found = node[np.concatenate(out)]
             yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
@@ -345,6 +346,39 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return texts.select("said", "id", "node").join(roots, "node", "left").select("said", "id", F.coalesce("root", "node").alias("root"))
 
 
+class Alike:
+    """Which of some sets have the similarity to one of them, exactly."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sets, self.similarity, self.holders = sets, similarity, None
+        self.sizes = np.array([len(x) for x in sets])
+
+    def common(self, i: int) -> np.ndarray:
+        """Members that each set shares with set ``i``, by who holds what."""
+        if self.holders is None:
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            owner = np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+            self.holders = flat[order][first], first, np.append(first[1:], len(flat)), owner
+        values, first, end, owner = self.holders
+        at = np.searchsorted(values, self.sets[i])
+        start, n = first[at], end[at] - first[at]
+        places = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(owner[places], minlength=len(self.sets))
+
+    def __call__(self, i: int, js: np.ndarray) -> np.ndarray:
+        x, y = self.sizes[i], self.sizes[js]
+        fit = np.minimum(x, y) >= self.similarity * np.maximum(x, y)
+        if fit.sum() > 8:
+            common = self.common(i)[js]
+        else:
+            common = np.zeros(len(js), np.int64)
+            for k in np.flatnonzero(fit).tolist():
+                common[k] = len(np.intersect1d(self.sets[i], self.sets[js[k]], assume_unique=True))
+        return fit & (common >= self.similarity * (x + y - common))
+
+
 def _verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, similarity: float, n_pivots: int, hold: int) -> DataFrame:
     """Edges (u, v) between texts of a candidate group that are similar by their shingle sets, enough to connect what all such pairs connect.
 
@@ -369,14 +403,7 @@ def _verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, siz
 
         def edges() -> pa.RecordBatch:
             fps = np.array([_majority(iter([x])) for x in sets], np.uint64)
-
-            def alike(p: int, q: int) -> bool:
-                x, y = len(sets[p]), len(sets[q])
-                if min(x, y) < similarity * max(x, y):
-                    return False
-                common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                return common >= similarity * (x + y - common)
-
+            alike = Alike(sets, similarity)
             got = near_stars(fps, refs, WIDE, alike)
             return pa.record_batch([pa.array([nodes[p] for p, _ in got], pa.int64()), pa.array([nodes[q] for _, q in got], pa.int64())], ["u", "v"])
 

@@ -96,7 +96,7 @@ def test_stars_connect_what_pairs_connect(radius):
             fps.append(f)
         fps = np.array(fps, np.uint64)
         for accept in (None, lambda i, j: (i * j) % 3 > 0):
-            got = simhash.near_stars(fps, simhash.pivots(32), radius, accept)
+            got = simhash.near_stars(fps, simhash.pivots(32), radius, accept and (lambda i, js: np.array([accept(i, j) for j in js.tolist()])))
             parent = list(range(len(fps)))
             for i, j in got:
                 assert (int(fps[i]) ^ int(fps[j])).bit_count() <= radius
@@ -115,6 +115,16 @@ def test_stars_connect_what_pairs_connect(radius):
             assert roots == near(fps, radius, accept)
 
 
+def test_alike_is_exact():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(60)]
+    alike = simhash.Alike(sets, 0.5)
+    for i in range(60):
+        for js in (np.arange(60), r.integers(0, 60, 5)):
+            want = [len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j])) for j in js.tolist()]
+            assert alike(i, js).tolist() == want
+
+
 def test_groups_are_not_cut():
     import pyarrow as pa
 
