@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def persist(df: DataFrame) -> DataFrame:
-    """A checkpoint in ``spark.checkpoint.dir``; where the session names none (tests), in a folder of our own."""
+    """A checkpoint in ``spark.checkpoint.dir``; where the session names none, in a folder of our own on one machine (tests), and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshlark-"))
     return df.checkpoint(eager=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import persist
@@ -61,6 +61,29 @@ def boundary_class(element: DataFrame, vertex: DataFrame, angle: float = 40.0) -
     return grouped.select("key", kind.alias("kind"))
 
 
+def up_each(incidence: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, etype, id): for every vertex set q of ``queries`` (q, vid), the entities that have all its vertices."""
+    v = queries.select("q", "vid").distinct()
+    size = v.groupBy("q").agg(F.count("*").alias("n"))
+    hit = v.join(incidence.select("etype", "id", "vid").distinct(), "vid").groupBy("q", "etype", "id").agg(F.count("*").alias("k"))
+    return hit.join(size, "q").where("k = n").select("q", "etype", "id")
+
+
+def half_facets(elements: DataFrame) -> DataFrame:
+    """(etype, id, side, a, b, sib_id, sib_side): the directed edges of polygons, and of each the next one on the same two vertices.
+
+    Edges on the same vertices follow one another by (id, side), the last one by the first; a border edge, alone on its vertices, has no
+    sibling.  An edge from a vertex to itself is left out.
+    """
+    e = elements.select("etype", "id", "conn", F.posexplode("conn").alias("side", "a"))
+    e = e.withColumn("b", F.element_at("conn", F.pmod(F.col("side") + 1, F.size("conn")) + 1)).where("a <> b").drop("conn")
+    own = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b"))
+    here = F.struct("id", "side")
+    after = F.coalesce(F.lead(here).over(own.orderBy("id", "side")), F.min(here).over(own))
+    e = e.withColumn("sib", F.when(F.count("*").over(own) > 1, after))
+    return e.select("etype", "id", "side", "a", "b", F.col("sib.id").alias("sib_id"), F.col("sib.side").alias("sib_side"))
+
+
 def up(incidence: DataFrame, vertices: DataFrame, condition: str = "intersect") -> DataFrame:
     """Entities with all (intersect) or any (union) of the vertices (column vid); none for an empty intersection."""
     v = vertices.select("vid").distinct()

@@ -127,6 +127,14 @@ def contains(members: DataFrame, sid: int, wanted: DataFrame, condition: str = "
     return got.select(((F.col("k") == F.col("n")) if condition == "intersect" else F.col("k") > 0).alias("held"))
 
 
+def contains_each(members: DataFrame, wanted: DataFrame, condition: str = "intersect") -> DataFrame:
+    """(sid, held) for every set of ``wanted`` (sid, etype, id): whether it has all (intersect) or any of the entities asked of it."""
+    w = wanted.select("sid", "etype", "id").distinct()
+    m = members.select("sid", "etype", "id", F.lit(1).alias("in")).distinct()
+    got = w.join(m, ["sid", "etype", "id"], "left").groupBy("sid").agg(F.count("*").alias("n"), F.count("in").alias("k"))
+    return got.select("sid", ((F.col("k") == F.col("n")) if condition == "intersect" else F.col("k") > 0).alias("held"))
+
+
 def status_filter(entities: DataFrame, column: str, mask: int, op: str) -> DataFrame:
     """AND: all bits of the mask set; OR: any; NOT: none."""
     bits = F.col(column).bitwiseAND(F.lit(mask))

@@ -84,10 +84,12 @@ def tag_values_default(spark, sf):
     return v.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("value") == -1).alias("missing"), F.sum("value").alias("total"))
 
 
-@query("SELECT (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_custkey = 7) = (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_custkey = 7 AND o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 7)) AS held")
+@query("SELECT asked AS sid, bool_and(asked = o_custkey) AS held FROM (SELECT o_custkey, o_custkey + CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 1 ELSE 0 END AS asked FROM orders) GROUP BY asked")
 def set_contains_all(spark, sf):
-    own = t.table(spark, sf, "orders").where("o_custkey = 7").select(F.lit(4).cast("tinyint").alias("etype"), F.col("o_orderkey").alias("id"))
-    return mesh.contains(t.set_members(spark, sf), t.CUSTOMER + 7, own)
+    """Every customer's set is asked for its orders, but urgent pending ones are asked of the next customer's."""
+    o, odd = t.table(spark, sf, "orders"), (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")
+    wanted = o.select((F.col("o_custkey") + F.lit(t.CUSTOMER) + F.when(odd, 1).otherwise(0)).alias("sid"), F.lit(4).cast("tinyint").alias("etype"), F.col("o_orderkey").alias("id"))
+    return mesh.contains_each(t.set_members(spark, sf), wanted).select((F.col("sid") - F.lit(t.CUSTOMER)).alias("sid"), "held")
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END & 2) = 2 AND (CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 5 ELSE 3 END & 4) <> 0")
@@ -112,21 +114,31 @@ def adj_union(spark, sf):
     return adjacency.up(t.incidence(spark, sf), v, "union").select("id")
 
 
-@query(f"SELECT id FROM {INC} WHERE vid IN (3, 5) GROUP BY id HAVING count(*) = 2 UNION ALL SELECT id FROM {INC} WHERE vid = 11")
+@query(f"""WITH inc AS {INC}, two AS (SELECT id AS q, vid FROM (SELECT id, vid, row_number() OVER (PARTITION BY id ORDER BY vid) AS r, count(*) OVER (PARTITION BY id) AS n FROM inc) WHERE r <= 2 AND n > 1)
+SELECT q, b.id FROM two JOIN inc b USING (vid) GROUP BY q, b.id HAVING count(*) = 2""")
 def adj_intersect(spark, sf):
+    """For every element's first two vertices, the elements that have both."""
     inc = t.incidence(spark, sf)
-    two, one = spark.createDataFrame([(3,), (5,)], "vid bigint"), spark.createDataFrame([(11,)], "vid bigint")
-    return adjacency.up(inc, two).unionByName(adjacency.up(inc, one)).select("id")
+    two = inc.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("vid")), 1, 2).alias("v")).where(F.size("v") == 2).select(F.col("id").alias("q"), F.explode("v").alias("vid"))
+    return adjacency.up_each(inc, two).select("q", "id")
 
 
 @query(f"SELECT a.id, b.id AS super FROM (SELECT id, list(vid ORDER BY vid) AS v FROM {INC} GROUP BY id HAVING count(*) = 2) a JOIN (SELECT id, list(vid ORDER BY vid) AS v FROM {INC} GROUP BY id HAVING count(*) > 2) b ON list_has_all(b.v, a.v)")
 def adj_up_division(spark, sf):
     """Elements whose vertex list has all vertices of a two-vertex element (relational division)."""
-    inc = t.incidence(spark, sf).select("id", "vid")
-    n = inc.groupBy("id").agg(F.count("*").alias("n"))
-    small = inc.join(n.where("n = 2").select("id"), "id")
-    big = inc.join(n.where("n > 2").select("id"), "id").select(F.col("id").alias("super"), "vid")
-    return small.join(big, "vid").groupBy("id", "super").agg(F.count("*").alias("k")).where("k = 2").select("id", "super")
+    inc = t.incidence(spark, sf)
+    n = inc.groupBy("etype", "id").agg(F.count("*").alias("n"))
+    small = inc.join(n.where("n = 2"), ["etype", "id"], "left_semi").select(F.col("id").alias("q"), "vid")
+    return adjacency.up_each(inc.join(n.where("n > 2"), ["etype", "id"], "left_semi"), small).select(F.col("q").alias("id"), F.col("id").alias("super"))
+
+
+@query("""WITH item AS (SELECT l_orderkey AS id, l_partkey AS a, row_number() OVER w - 1 AS side, coalesce(lead(l_partkey) OVER w, first_value(l_partkey) OVER w) AS b
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)),
+edge AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi FROM item WHERE a <> b),
+sib AS (SELECT *, count(*) OVER (PARTITION BY lo, hi) AS n, coalesce(lead(id) OVER s, first_value(id) OVER s) AS i, coalesce(lead(side) OVER s, first_value(side) OVER s) AS j FROM edge WINDOW s AS (PARTITION BY lo, hi ORDER BY id, side))
+SELECT id, CAST(side AS INTEGER) AS side, a, b, CASE WHEN n > 1 THEN i END AS sib_id, CAST(CASE WHEN n > 1 THEN j END AS INTEGER) AS sib_side FROM sib""")
+def half_facets(spark, sf):
+    return adjacency.half_facets(t.elements(spark, sf)).drop("etype")
 
 
 @query(f"SELECT DISTINCT b.vid FROM {INC} a JOIN {INC} b USING (id) WHERE a.vid IN (SELECT p_partkey FROM part WHERE p_size = 31)")
@@ -143,10 +155,11 @@ def adj_down_single(spark, sf):
     return inc.join(ones, ["etype", "id"], "left_semi").groupBy("vid").count().where("count = 1").select("vid")
 
 
-@query(f"SELECT DISTINCT b.id FROM (SELECT DISTINCT x.vid FROM {INC} x WHERE x.id IN (SELECT o_orderkey FROM orders WHERE o_custkey = 11)) v JOIN {INC} b USING (vid) WHERE b.id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey = 11)")
+@query(f"""WITH inc AS {INC}, start AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)
+SELECT DISTINCT b.id FROM (SELECT DISTINCT vid FROM inc JOIN start USING (id)) v JOIN inc b USING (vid) WHERE b.id NOT IN (SELECT id FROM start)""")
 def bridge_adjacency(spark, sf):
-    start = t.table(spark, sf, "orders").where("o_custkey = 11").select(F.lit(4).cast("tinyint").alias("etype"), F.col("o_orderkey").alias("id"))
-    return adjacency.bridge(t.incidence(spark, sf), start, 1, keep_start=False).select("id")
+    dear = t.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000")
+    return adjacency.bridge(t.incidence(spark, sf), dear.select(F.lit(4).cast("tinyint").alias("etype"), F.col("o_orderkey").alias("id")), 1, keep_start=False).select("id")
 
 
 @query(f"""WITH inc AS {INC}, l0 AS (SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 499000 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)), l1 AS (SELECT DISTINCT b.id FROM inc a JOIN l0 USING (id) JOIN inc b ON a.vid = b.vid WHERE b.id NOT IN (SELECT id FROM l0)),
