@@ -257,7 +257,7 @@ def join_classes(rows: DataFrame, head: dict[bytes, int], classes: np.ndarray, n
 
     found = classes.copy()
     parts = rows.mapInArrow(count, "k bigint, c binary").repartition("k").sortWithinPartitions("k")
-    for r in parts.mapInArrow(choose, "k bigint, c bigint").toLocalIterator():
+    for r in parts.mapInArrow(choose, "k bigint, c bigint").collect():
         found[r["k"]] = r["c"]
     return found
 
