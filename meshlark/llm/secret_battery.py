@@ -254,10 +254,12 @@ def mask(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", by:
 
     masked = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(old, a["at"] + 1, F.char_length(old))))
     changed = F.size("spans") > 0
-    new = {text_col: F.when(changed, masked).otherwise(old)}
+    done = fresh(found, "__masked")
+    found = found.withColumn(done, F.when(changed, masked).otherwise(old))
+    out = {text_col: F.col(done)}
     if chars_col in df.columns:
-        new[chars_col] = F.when(changed, F.char_length(masked).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return back(found.withColumns(new))
+        out[chars_col] = F.when(changed, F.char_length(done).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return back(found.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in clear.columns]))
 
 
 #: Kinds as listed; ``random`` are the added ones.

@@ -59,7 +59,7 @@ def test_stages_keep_columns_and_survive_odd_rows(spark):
 
 def test_stages_with_names_of_their_own(spark):
     names = "lang_pred score n_words spans n_hit items contaminated base __base __c __text __id __said n_pieces scores piece_ids other_ids".split()
-    rows = [(k, text, "en", "s", len(text or ""), *[f"{n}{k}" for n in names]) for k, text in enumerate((fixtures.WORDY, None, "", "password = abcdefgh1", "x" * 1_200_000))]
+    rows = [(k, text, "en", "s", len(text or ""), *[f"{n}{k}" for n in names]) for k, text in enumerate((fixtures.WORDY, None, "", "password = abcdefgh1", "word " * 240_000))]
     docs = spark.createDataFrame(rows, fixtures.DOCS + "".join(f", {n} string" for n in names))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
