@@ -36,6 +36,23 @@ def skin(element: DataFrame, dim: int) -> DataFrame:
     return one.where("n = 1").drop("n")
 
 
+def side_uses(element: DataFrame, dim: int) -> DataFrame:
+    """(key, n): how many elements have a side: 1 on the boundary, 2 inside, more where it isn't manifold."""
+    return sides(element, dim).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def vertex_index(incidence: DataFrame) -> DataFrame:
+    """(vid, n, first_id, last_id): the inverted index of a mesh, one row a vertex, without its list, which has no bound."""
+    return incidence.groupBy("vid").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def opposite_vertices(element: DataFrame, lower: DataFrame) -> DataFrame:
+    """(etype, id, side_id, vid): the vertices of an element that a lower entity on it, given as (etype, id, side_id, vid), doesn't have."""
+    all_v = element.select("etype", "id", F.explode("conn").alias("vid")).distinct()
+    asked = lower.select("etype", "id", "side_id").distinct().join(all_v, ["etype", "id"])
+    return asked.join(lower.select("etype", "id", "side_id", "vid"), ["etype", "id", "side_id", "vid"], "left_anti")
+
+
 def skin_vertices(element: DataFrame, dim: int) -> DataFrame:
     return skin(element, dim).select(F.explode("verts").alias("vid")).distinct()
 
@@ -181,12 +198,14 @@ def opposite_side(element: DataFrame) -> DataFrame:
 def sheets(element: DataFrame) -> DataFrame:
     """(etype, id, side, sheet): dual sheets (hexes) or chords (quads), as components over opposite sides.
 
-    The sheet's number is its smallest side, numbered by the key's hash.
+    Sides are numbered in the order of their keys; the sheet's number is its smallest.
     """
     from .graph import components
+    from .ordered import dense_ids
 
     quads = element.where(F.col("etype") == T.CODE["quad"])
-    s = sides(quads, 1).withColumn("node", F.xxhash64("key"))
+    s = sides(quads, 1)
+    s = persist(s.join(dense_ids(s.select("key").distinct(), ["key"], "node"), "key"))
     opp = opposite_side(quads).where("side < opposite")
     a = s.select("etype", "id", "side", F.col("node").alias("u"))
     b = s.select("etype", "id", F.col("side").alias("opposite"), F.col("node").alias("v"))

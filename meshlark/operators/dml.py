@@ -45,8 +45,10 @@ def delete(mesh: Mesh, entities: DataFrame) -> Mesh:
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``changes`` replace those with their key, or come in anew."""
-    return table.join(changes.select(*key), key, "left_anti").unionByName(changes.select(*table.columns))
+    """Rows of ``changes`` replace those with their key, or come in anew; of several changes of a key the largest row counts."""
+    rest = [c for c in table.columns if c not in key]
+    new = changes.select(*key).distinct() if not rest else changes.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__new")).select(*key, "__new.*")
+    return table.join(new.select(*key), key, "left_anti").unionByName(new.select(*table.columns))
 
 
 def merge_by_value(tag: DataFrame) -> DataFrame:
@@ -64,11 +66,20 @@ def merge_close(vertex: DataFrame, tol: float) -> DataFrame:
 
 
 def apply_merge(mesh: Mesh, vertex_map: DataFrame) -> Mesh:
-    """Renames vertices, drops the merged ones, and leaves one of each elements that came to have the same vertex cycle."""
-    old = vertex_map.select(F.col("old").alias("id"))
+    """Renames vertices, drops the merged ones, and leaves one of each elements that came to have the same vertex cycle.
+
+    Members of sets follow to the entity that stays, once in a SET; the tags of an entity that goes are dropped.
+    """
+    old = vertex_map.where("old <> new").select(F.col("old").alias("id"))
     e = rewrite(mesh.element, vertex_map).withColumn("key", T.cyclic_key(F.col("conn")))
-    kept = e.groupBy("etype", "key").agg(F.min("id").alias("id"), F.min_by("conn", "id").alias("conn")).select("etype", "id", "conn")
-    return replace(mesh, vertex=mesh.vertex.join(old, "id", "left_anti"), element=kept)
+    kept = e.groupBy("etype", "key").agg(F.min("id").alias("id"), F.min_by("conn", "id").alias("conn"))
+    to = e.select("etype", "id", "key").join(kept.select("etype", "key", F.col("id").alias("new")), ["etype", "key"]).where("id <> new").select("etype", F.col("id").alias("old"), "new")
+    to = to.unionByName(vertex_map.where("old <> new").select(F.lit(0).cast("tinyint").alias("etype"), "old", "new"))
+    m = mesh.member.join(to.withColumnRenamed("old", "id"), KEY, "left").select("sid", "pos", "etype", F.coalesce("new", "id").alias("id"))
+    member = m.where(F.col("pos").isNotNull()).unionByName(m.where(F.col("pos").isNull()).distinct())
+    gone = to.select("etype", F.col("old").alias("id"))
+    tags = {k: t.join(gone, KEY, "left_anti") for k, t in mesh.tags.items()}
+    return replace(mesh, vertex=mesh.vertex.join(old, "id", "left_anti"), element=kept.select("etype", "id", "conn"), member=member, tags=tags)
 
 
 def transform(vertex: DataFrame, m: list[list[float]]) -> DataFrame:

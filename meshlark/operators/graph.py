@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import persist
 
 
-def reach(links: DataFrame, start: DataFrame, hops: int = -1, max_hops: int = 10_000) -> DataFrame:
+def reach(links: DataFrame, start: DataFrame, hops: int = -1) -> DataFrame:
     """(start, node, hop): nodes that directed links (parent, child) reach in up to ``hops`` steps, each with its first hop; -1: all.
 
     Cycles are legal; a start is in its own result only when a link leads back to it.
@@ -16,7 +16,7 @@ def reach(links: DataFrame, start: DataFrame, hops: int = -1, max_hops: int = 10
     edge = links.select("parent", "child").distinct()
     ring = start.select("start").distinct().select("start", F.col("start").alias("node"))
     seen, hop = None, 0
-    while hop != hops and hop < max_hops:
+    while hop != hops:
         hop += 1
         nxt = ring.join(edge, ring.node == edge.parent).select("start", F.col("child").alias("node")).distinct()
         if seen is not None:

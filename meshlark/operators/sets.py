@@ -29,6 +29,30 @@ def equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return odd.agg((F.count("*") == 0).alias("same"))
 
 
+def equal_sets(member: DataFrame) -> DataFrame:
+    """(sid, same_as): for every set the smallest set with the same contents, itself if there is none smaller.
+
+    Sets of one size and of two equal checksums over their members are compared with the smallest of them member by member;
+    one that differs from it in spite of these stands for itself.
+    """
+    m = member.select("sid", *KEY).distinct()
+    sums = m.groupBy("sid").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64(*KEY), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64(*KEY, F.lit(7))).alias("x"))
+    first = sums.groupBy("n", "s", "x").agg(F.min("sid").alias("rep"))
+    asked = sums.join(first, ["n", "s", "x"]).select("sid", "rep", "n")
+    held = asked.where("rep <> sid").join(m, "sid").join(m.withColumnRenamed("sid", "rep"), ["rep", *KEY]).groupBy("sid").agg(F.count("*").alias("k"))
+    return asked.join(held, "sid", "left").select("sid", F.when(F.col("k") == F.col("n"), F.col("rep")).otherwise(F.col("sid")).alias("same_as"))
+
+
+def pass_down(member: DataFrame, tag: DataFrame) -> DataFrame:
+    """(etype, id, value): every set's tag value (sid, value) on its members; a member of several sets has a row for each value."""
+    return member.join(tag.select("sid", "value"), "sid").select(*KEY, "value").distinct()
+
+
+def within(member: DataFrame, sids: DataFrame, lowest: int, highest: int, recursive: bool = False) -> DataFrame:
+    """(sid, etype, id): contents of sets whose type code lies between two: a type, or a dimension's neighbouring types."""
+    return contents(member, sids, recursive).where(F.col("etype").between(lowest, highest))
+
+
 def add(member: DataFrame, eset: DataFrame, sid: int, entities: DataFrame) -> DataFrame:
     """Members with the entities added: a SET holds each once, an ORDERED set appends them in row order of ``pos`` or id."""
     own = eset.where(F.col("sid") == sid).select("ordered")

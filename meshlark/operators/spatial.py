@@ -34,13 +34,16 @@ def within_distance(left: DataFrame, right: DataFrame, d: float, coords: tuple[s
     return hit.where(F.col("sq") < d * d if strict else F.col("sq") <= d * d).select("a", "b", F.sqrt("sq").alias("dist"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1, coords: tuple[str, ...] = XYZ, max_rounds: int = 40) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, coords: tuple[str, ...] = XYZ) -> DataFrame:
     """(a, b, dist, rank): the k nearest points of ``right`` for each of ``left``, ties to the smaller id.
 
-    Searches within a radius that doubles for those still short of k, from a typical spacing on.
+    Searches within a radius that doubles for those still short of k, from a typical spacing on, until none is.  Points with
+    a coordinate that is null or no finite number have no distance and are left out on both sides.
     """
     from ..checkpoints import persist
 
+    finite = reduce(lambda s, c: s & (F.abs(c) < math.inf), coords, F.lit(True))  # NaN counts as larger
+    left, right = left.where(finite), right.where(finite)
     box = right.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in coords]).first()
     if not box["n"]:
         return left.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("rank")).limit(0)
@@ -49,7 +52,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, coords: tuple[str, ..
     radius = 1.5 * (math.prod(spans) * k / box["n"]) ** (1 / len(coords))
     rest, out = left.select("id", *coords), None
     w = Window.partitionBy("a").orderBy("dist", "b")
-    for _ in range(max_rounds):
+    while True:
         got = within_distance(rest, right, radius, coords).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         full = persist(got.withColumn("m", F.count("*").over(Window.partitionBy("a"))).where(F.col("m") == k).drop("m"))
         out = full if out is None else out.unionByName(full)

@@ -148,11 +148,11 @@ def adj_down_union(spark, sf):
     return adjacency.down(inc, adjacency.up(inc, v, "union"))
 
 
-@query(f"SELECT vid FROM {INC} WHERE id IN (SELECT id FROM {INC} GROUP BY id HAVING count(*) = 1) GROUP BY vid HAVING count(*) = 1")
+@query(f"SELECT DISTINCT vid FROM {INC} WHERE id IN (SELECT id FROM {INC} GROUP BY id HAVING count(*) = 1)")
 def adj_down_single(spark, sf):
+    """Vertices of the elements on one vertex."""
     inc = t.incidence(spark, sf)
-    ones = inc.groupBy("etype", "id").count().where("count = 1")
-    return inc.join(ones, ["etype", "id"], "left_semi").groupBy("vid").count().where("count = 1").select("vid")
+    return adjacency.down(inc, inc.groupBy("etype", "id").count().where("count = 1"), "union")
 
 
 @query(f"""WITH inc AS {INC}, start AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)
@@ -173,31 +173,27 @@ def second_adjacency_layers(spark, sf):
 
 @query(f"SELECT vid, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM {INC} GROUP BY vid")
 def inverted_index(spark, sf):
-    return t.incidence(spark, sf).groupBy("vid").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return adjacency.vertex_index(t.incidence(spark, sf))
 
 
-_RING = """ring AS (SELECT l_orderkey AS id, l_partkey AS v, lead(l_partkey) OVER w AS nxt, first_value(l_partkey) OVER w AS fst, count(*) OVER (PARTITION BY l_orderkey) AS n
- FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)),
+# vertices repeated at a polygon's end are padding
+_LINE = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity"
+_RING = f"""line AS (SELECT l_orderkey AS id, l_partkey AS v, row_number() OVER ({_LINE}) AS r, lag(l_partkey) OVER ({_LINE}) AS was,
+ min(l_partkey) OVER ({_LINE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lo, max(l_partkey) OVER ({_LINE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM lineitem),
+ring AS (SELECT id, v, lead(v) OVER w AS nxt, first_value(v) OVER w AS fst FROM line WHERE was IS NULL OR was <> v OR lo <> hi WINDOW w AS (PARTITION BY id ORDER BY r)),
 edge AS (SELECT id, v AS a, coalesce(nxt, fst) AS b FROM ring), key AS (SELECT id, least(a, b) AS lo, greatest(a, b) AS hi FROM edge)"""
 
 
 @query(f"WITH {_RING} SELECT lo, hi, min(id) AS id FROM key GROUP BY lo, hi HAVING count(*) = 1")
 def skin_edges_once(spark, sf):
     """Edges that exactly one element has; an order's parts in line order are a polygon."""
-    ring = t.elements(spark, sf)
-    n = F.size("conn")
-    e = ring.select("id", F.explode(F.transform("conn", lambda v, k: F.array_sort(F.array(v, F.element_at("conn", (k + 1) % n + 1))))).alias("key"))
-    one = e.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    return one.select(F.col("key")[0].alias("lo"), F.col("key")[1].alias("hi"), "id")
+    return adjacency.skin(t.elements(spark, sf), 1).select(F.col("key")[0].alias("lo"), F.col("key")[1].alias("hi"), "id")
 
 
 @query(f"WITH {_RING} SELECT k, count(*) AS n FROM (SELECT count(*) AS k FROM key GROUP BY lo, hi) GROUP BY k")
 def edge_classes(spark, sf):
     """How many edges are used once, twice, ...: boundary, manifold and non-manifold."""
-    ring = t.elements(spark, sf)
-    n = F.size("conn")
-    e = ring.select(F.explode(F.transform("conn", lambda v, k: F.array_sort(F.array(v, F.element_at("conn", (k + 1) % n + 1))))).alias("key"))
-    return e.groupBy("key").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    return adjacency.side_uses(t.elements(spark, sf), 1).select(F.col("n").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
 # --- sets ----------------------------------------------------------------
@@ -226,9 +222,10 @@ def set_subtract(spark, sf):
     return sets.subtract(*_ab(spark, sf)).select("id")
 
 
-@query("SELECT false AS same")
+@query("SELECT sid, min(sid) OVER (PARTITION BY ids) AS same_as FROM (SELECT l_partkey AS sid, list(DISTINCT l_orderkey ORDER BY l_orderkey) AS ids FROM lineitem WHERE l_quantity >= 49 GROUP BY l_partkey)")
 def set_equal(spark, sf):
-    return sets.equal(*_ab(spark, sf))
+    """Of each part's set of large orders the smallest set with the same contents."""
+    return sets.equal_sets(t.table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("sid"), F.lit(4).cast("tinyint").alias("etype"), F.col("l_orderkey").alias("id")))
 
 
 @query("SELECT r_regionkey AS region, o_orderkey AS id FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey")
@@ -422,10 +419,9 @@ def merge_rewrite(spark, sf):
 @query(f"SELECT count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT id FROM {INC} WHERE vid IN (SELECT p_partkey FROM part WHERE p_size > 45)) AND o_orderkey IN (SELECT id FROM {INC})")
 def delete_cascade(spark, sf):
     """Elements that are left when vertices go."""
-    inc = t.incidence(spark, sf)
-    v = t.table(spark, sf, "part").where("p_size > 45").select(F.col("p_partkey").alias("vid"))
-    gone = inc.join(v, "vid", "left_semi").select("etype", "id").distinct()
-    return inc.select("etype", "id").distinct().join(gone, ["etype", "id"], "left_anti").agg(F.count("*").alias("n"))
+    m = mesh.Mesh.build(t.vertices(spark, sf), t.elements(spark, sf))
+    v = t.table(spark, sf, "part").where("p_size > 45").select(F.lit(0).cast("tinyint").alias("etype"), F.col("p_partkey").alias("id"))
+    return dml.delete(m, v).element.agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice * 2 ELSE o_totalprice END AS value FROM orders")
@@ -438,9 +434,8 @@ def tag_upsert(spark, sf):
 @query("SELECT o_orderkey AS id, c_mktsegment AS value FROM orders JOIN customer ON o_custkey = c_custkey")
 def tag_propagate(spark, sf):
     """A set's tag goes to its members."""
-    m = t.set_members(spark, sf).where("etype = 4")
     tag = t.table(spark, sf, "customer").select((F.col("c_custkey") + F.lit(t.CUSTOMER)).alias("sid"), F.col("c_mktsegment").alias("value"))
-    return m.join(tag, "sid").select("id", "value")
+    return sets.pass_down(t.set_members(spark, sf), tag).where("etype = 4").select("id", "value")
 
 
 @query("SELECT p_partkey AS id, round(2 * p_size - p_retailprice + 3, 4) AS x, round(CAST(p_size AS DOUBLE) + 1, 4) AS y FROM part")
