@@ -36,6 +36,9 @@ HEX = r"[0-9a-f]{32,}"
 
 MIN_LENGTH = 20
 CANDIDATE = r"[A-Za-z0-9+/_\-]{20,}"
+#: Characters of a candidate, and names of the blocks of an alphabet.
+KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+BLOCKS = "ABCDEFGHIJKLMNOP"
 #: Cuts of the joint p-value; a fixed grid, so that band counts stay small.
 CUTS = [round(0.02 * k, 2) for k in range(1, 50)]
 BANDS = [24, 32, 40, 64, 128]
@@ -84,10 +87,30 @@ def chi2_tail(x: Column, k: Column) -> Column:
     return normal_tail((F.pow(x / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k)))
 
 
+def worth(char: str, size: int) -> int:
+    """Value of a key character in the alphabet of 16, 36 or 64."""
+    o = ord(char)
+    if size < 64:
+        return o - (48 if o < 58 else 87 if o >= 97 else 55)
+    return o - 65 if 65 <= o <= 90 else o - 71 if 97 <= o <= 122 else o + 4 if 48 <= o <= 57 else 62 if char in "+-" else 63
+
+
+def spelled(token: Column, enc: Column, letter) -> Column:  # noqa: ANN001
+    """The token with ``letter(value, size)`` for each character, by whole-string translation."""
+    def by(size: int) -> Column:
+        own = [c for c in KEY_CHARS if size == 64 or worth(c, size) < size and c.isalnum()]
+        return F.translate(token, "".join(own), "".join(letter(worth(c, size), size) for c in own))
+
+    return F.when(enc == 16, by(16)).when(enc == 36, by(36)).otherwise(by(64))
+
+
 def battery(token: Column) -> Column:
-    """struct<encoding, p> of a candidate; each array is bound once through a one-element transform."""
-    chars = F.split(token, "")
+    """struct<encoding, p> of a candidate; each array is bound once through a one-element transform.
+
+    Blocks and runs are counted on translated strings; only the mean, the variance and the lag take a step a character.
+    """
     enc = F.when(F.regexp_like(token, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), F.lit(16)).when(F.regexp_like(token, F.lit("^([0-9a-z]+|[0-9A-Z]+)$")), F.lit(36)).otherwise(F.lit(64))
+    block = lambda n: lambda x, size: BLOCKS[int(x // (size / n))]
 
     def value(c: Column, e: Column) -> Column:
         o = F.ascii(c)
@@ -95,30 +118,38 @@ def battery(token: Column) -> Column:
         wide = F.when((o >= 65) & (o <= 90), o - 65).when((o >= 97) & (o <= 122), o - 71).when((o >= 48) & (o <= 57), o + 4).when(o == 43, F.lit(62)).when(o == 45, F.lit(62)).otherwise(F.lit(63))
         return F.when(e < 64, low).otherwise(wide).cast("double")
 
-    def lag_sum(v: Column, step) -> Column:  # noqa: ANN001
-        """Sum of step(previous, this) over neighbours."""
-        first = F.struct(F.lit(0.0).alias("r"), v[0].alias("last"))
-        return F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), first, lambda a, x: F.struct((a["r"] + step(a["last"], x)).alias("r"), x.alias("last")), lambda a: a["r"])
+    def times(s: Column, part: Column) -> Column:
+        """Characters of ``s`` that occurrences of ``part`` take."""
+        return (F.length(s) - F.length(F.replace(s, part, F.lit("")))).cast("double")
 
     def joint(y: Column) -> Column:
-        v, e, mid, high = y["v"], y["e"], y["mid"], y["high"]
+        v, mid, blocks, halves = y["v"], y["mid"], y["blocks"], y["halves"]
         n = F.size(v).cast("double")
-        blocks = F.when(n >= FINE, F.lit(16.0)).otherwise(F.lit(8.0))
-        cells = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda k: F.size(F.filter(v, lambda x: F.floor(x / (e / blocks)) == k)).cast("double"))
-        chi = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.pow(c - n / blocks, F.lit(2)) / (n / blocks))
-        p1 = chi2_tail(F.greatest(chi, F.lit(1e-9)), blocks - 1)
-        runs = 1.0 + lag_sum(v, lambda q, x: F.when((x >= e / 2) != (q >= e / 2), 1.0).otherwise(0.0))
+        k = F.when(n >= FINE, F.lit(16.0)).otherwise(F.lit(8.0))
+        cells = F.transform(F.sequence(F.lit(1), k.cast("int")), lambda j: times(blocks, F.substring(F.lit(BLOCKS), j, F.lit(1))))
+        chi = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.pow(c - n / k, F.lit(2)) / (n / k))
+        p1 = chi2_tail(F.greatest(chi, F.lit(1e-9)), k - 1)
+        runs = 1.0 + times(halves, F.lit("HL")) / 2 + times(halves, F.lit("LH")) / 2
+        high = times(halves, F.lit("H"))
         mean = 2 * high * (n - high) / n + 1
         var = (mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0))
         p2 = F.when(var <= 0, F.lit(1e-6)).otherwise(2 * normal_tail(F.abs(runs - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))))
         ss = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x - mid, F.lit(2)))
-        lag = lag_sum(v, lambda q, x: (x - mid) * (q - mid))
+        first = F.struct(F.lit(0.0).alias("r"), v[0].alias("last"))
+        lag = F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), first, lambda a, x: F.struct((a["r"] + (x - mid) * (a["last"] - mid)).alias("r"), x.alias("last")), lambda a: a["r"])
         p3 = F.when(ss <= 0, F.lit(1e-6)).otherwise(2 * normal_tail(F.abs(lag / F.greatest(ss, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
         logs = [F.log(F.least(F.lit(1.0), F.greatest(p, F.lit(1e-12)))) for p in (p1, p2, p3)]
         return chi2_tail(F.greatest(-2 * (logs[0] + logs[1] + logs[2]), F.lit(1e-9)), F.lit(6.0))
 
-    values = F.transform(F.array(enc), lambda e: F.struct(e.alias("e"), F.transform(F.filter(chars, lambda c: c != ""), lambda c: value(c, e)).alias("v")))
-    sums = F.transform(values, lambda x: F.struct(x["e"].alias("e"), x["v"].alias("v"), (F.aggregate(x["v"], F.lit(0.0), lambda a, c: a + c) / F.size(x["v"])).alias("mid"), F.size(F.filter(x["v"], lambda c: c >= x["e"] / 2)).cast("double").alias("high")))
+    def looked(x: Column) -> Column:
+        t, e = x["t"], x["e"]
+        blocks = F.when(F.length(t) >= FINE, spelled(t, e, block(16))).otherwise(spelled(t, e, block(8)))
+        halves = spelled(t, e, lambda x, size: "H" if x >= size / 2 else "L")
+        v = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: value(c, e))
+        return F.struct(e.alias("e"), v.alias("v"), blocks.alias("blocks"), halves.alias("halves"))
+
+    seen = F.transform(F.array(F.struct(token.alias("t"), enc.alias("e"))), looked)
+    sums = F.transform(seen, lambda x: F.struct(x["e"].alias("e"), x["v"].alias("v"), x["blocks"].alias("blocks"), x["halves"].alias("halves"), (F.aggregate(x["v"], F.lit(0.0), lambda a, c: a + c) / F.size(x["v"])).alias("mid")))
     return F.transform(sums, lambda y: F.struct(y["e"].alias("encoding"), joint(y).alias("p")))[0]
 
 
