@@ -341,7 +341,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     maybe = components(bucket_links(keyed, ["key", "band"], n_pivots, WIDE, similarity))
     maybe = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct())
     members = texts.select("node", "said", "id", "n").join(maybe, "node")
-    edges = _verified(df, persist(members), id_col, text_col, size, similarity, n_pivots, hold)
+    edges = _verified(df, members, id_col, text_col, size, similarity, n_pivots, hold)
     roots = components(edges)
     return texts.select("said", "id", "node").join(roots, "node", "left").select("said", "id", F.coalesce("root", "node").alias("root"))
 
@@ -379,15 +379,30 @@ class Alike:
         return fit & (common >= self.similarity * (x + y - common))
 
 
+def _blocks(members: DataFrame, hold: int) -> DataFrame:
+    """``members`` (root, n, node ...) with ``block``: the ``hold`` of shingles in which a member starts, in its group's order of (n, node).
+
+    Rows are range-partitioned, so a group of any size spreads over tasks; within a partition its sums run on from those of
+    its rows in earlier partitions.  Only groups in several partitions have any, two for each partition at most.
+    """
+    from pyspark.sql import Window
+
+    dealt = persist(members.repartitionByRange("root", "n", "node").withColumn("p", F.spark_partition_id()))
+    sums = dealt.groupBy("root", "p").agg(F.sum("n").alias("s"))
+    long = sums.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
+    earlier = Window.partitionBy("root").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.join(long, "root", "left_semi").select("root", "p", F.sum("s").over(earlier).alias("before"))
+    run_up = Window.partitionBy("root", "p").orderBy("n", "node")
+    at = F.coalesce("before", F.lit(0)) + F.sum("n").over(run_up) - F.col("n")
+    return dealt.join(F.broadcast(before), ["root", "p"], "left").withColumn("block", F.floor(at / hold)).drop("p", "before")
+
+
 def _verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, similarity: float, n_pivots: int, hold: int) -> DataFrame:
     """Edges (u, v) between texts of a candidate group that are similar by their shingle sets, enough to connect what all such pairs connect.
 
     A group goes by blocks of ``hold`` shingles in order of set size; every two blocks meet in one task.
     """
-    from pyspark.sql import Window
-
-    run_up = Window.partitionBy("root").orderBy("n", "node")
-    cut = members.withColumn("block", F.floor((F.sum("n").over(run_up) - F.col("n")) / hold))
+    cut = _blocks(members, hold)
     blocks = cut.groupBy("root", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # blocks meet unless all sets of the one are too small for those of the other
     a, b = blocks.select("root", F.col("block").alias("i"), F.col("hi")), blocks.select("root", F.col("block").alias("j"), F.col("lo"))

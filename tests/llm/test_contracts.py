@@ -204,6 +204,16 @@ def test_similar_texts(spark, docs):
             assert set(map(frozenset, got.values())) == set(map(frozenset, want.values()))
 
 
+def test_blocks_of_a_group_over_many_partitions(spark):
+    rows = [(k % 3 * (k % 5 > 0), k * 7919 % 101, k) for k in range(3000)]
+    want, at = {}, {}
+    for root, n, node in sorted(rows):
+        want[node] = at.get(root, 0) // 1000
+        at[root] = at.get(root, 0) + n
+    got = simhash._blocks(spark.createDataFrame(rows, "root long, n long, node long"), 1000).collect()
+    assert {r["node"]: r["block"] for r in got} == want and len(got) == len(rows)
+
+
 def test_keep_one(spark):
     import hashlib
 
