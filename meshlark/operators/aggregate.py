@@ -51,12 +51,46 @@ def bounding_box(df: DataFrame, by: list[str], coords: tuple[str, ...] = ("x", "
     return df.groupBy(*by).agg(*[f(c).alias(f"{c}{n}") for c in coords for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
-def oriented_box(points: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and covariance of the points of each group: what an oriented box's axes are the eigenvectors of."""
+def covariance(points: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and population covariance of the points of each group."""
     pairs = [(a, b) for k, a in enumerate("xyz") for b in "xyz"[k:]]
     return points.groupBy(*by).agg(*[F.avg(c).alias(f"mean_{c}") for c in "xyz"], *[F.covar_pop(a, b).alias(f"cov_{a}{b}") for a, b in pairs])
 
 
+def oriented_box(points: DataFrame, by: list[str]) -> DataFrame:
+    """by, center, axes (three unit vectors), half (extent along each) and variance (along each, falling) of each group.
+
+    The axes are the eigenvectors of the covariance, their signs such that the largest component is positive; the box is the
+    tight one along them.  Groups' rows alone go to numpy, in Arrow batches; extents are one more aggregation.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def turn(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            m = b[["cov_xx", "cov_xy", "cov_xz", "cov_xy", "cov_yy", "cov_yz", "cov_xz", "cov_yz", "cov_zz"]].to_numpy(float).reshape(-1, 3, 3)
+            w, q = np.linalg.eigh(m)
+            w, q = w[:, ::-1], q[:, :, ::-1].transpose(0, 2, 1)
+            top = np.take_along_axis(q, np.abs(q).argmax(axis=2)[..., None], 2)
+            out = b[by].copy()
+            out["axes"], out["variance"] = list((q * np.sign(top)).reshape(-1, 9)), list(np.maximum(w, 0))
+            yield pd.DataFrame(out)
+
+    c = covariance(points, by)
+    fields = ", ".join(f"`{n}` {points.schema[n].dataType.simpleString()}" for n in by)
+    axes = c.mapInPandas(turn, f"{fields}, axes array<double>, variance array<double>")
+    along = [sum((F.col("axes")[3 * k + j] * F.col(x) for j, x in ((1, "y"), (2, "z"))), F.col("axes")[3 * k] * F.col("x")) for k in range(3)]
+    ends = points.join(axes, by).groupBy(*by).agg(F.first("axes").alias("axes"), F.first("variance").alias("variance"), *[f(along[k]).alias(f"{n}{k}") for k in range(3) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    mid = [(F.col(f"lo{k}") + F.col(f"hi{k}")) / 2 for k in range(3)]
+    center = F.array(*[sum((F.col("axes")[3 * k + j] * mid[k] for k in (1, 2)), F.col("axes")[j] * mid[0]) for j in range(3)])
+    return ends.select(*by, center.alias("center"), F.array(*[F.slice("axes", 3 * k + 1, 3) for k in range(3)]).alias("axes"), F.array(*[(F.col(f"hi{k}") - F.col(f"lo{k}")) / 2 for k in range(3)]).alias("half"), "variance")
+
+
+def tag_counts(entities: DataFrame, tag: DataFrame) -> DataFrame:
+    """(etype, value, n): entities by their tag's value; a null value counts those without the tag."""
+    return entities.select("etype", "id").join(tag.select("etype", "id", "value"), ["etype", "id"], "left").groupBy("etype", "value").agg(F.count("*").alias("n"))
+
+
 def group_integral(df: DataFrame, by: list[str], integral: str) -> DataFrame:
     """Integral of each group, and the factor that normalises it to one: 0 where it is 1e-8 or less."""
     total = df.groupBy(*by).agg(F.sum(integral).alias("integral"))

@@ -51,6 +51,48 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return table.join(new.select(*key), key, "left_anti").unionByName(new.select(*table.columns))
 
 
+def set_coordinates(mesh: Mesh, rows: DataFrame) -> Mesh:
+    """Vertices (id, x, y, z) that exist get these coordinates."""
+    known = rows.select("id", "x", "y", "z").join(mesh.vertex.select("id"), "id", "left_semi")
+    return replace(mesh, vertex=upsert(mesh.vertex, known, ["id"]))
+
+
+def set_connectivity(mesh: Mesh, rows: DataFrame) -> Mesh:
+    """Elements (etype, id, conn) that exist get this connectivity."""
+    known = rows.select("etype", "id", "conn").join(mesh.element.select(*KEY), KEY, "left_semi")
+    return replace(mesh, element=upsert(mesh.element, known, KEY))
+
+
+def edit_adjacencies(adjacent: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None, both_ways: bool = True) -> DataFrame:
+    """Explicit adjacencies (etype, id, to_etype, to_id) with rows added and then removed, each the other way round too with ``both_ways``."""
+    cols = ["etype", "id", "to_etype", "to_id"]
+
+    def whole(d: DataFrame) -> DataFrame:
+        d = d.select(*cols)
+        return d.unionByName(d.toDF("to_etype", "to_id", "etype", "id")) if both_ways else d
+
+    out = adjacent.select(*cols)
+    if add is not None:
+        out = out.unionByName(whole(add))
+    out = out.distinct()
+    return out if remove is None else out.join(whole(remove).distinct(), cols, "left_anti")
+
+
+def split_vertices(mesh: Mesh, vertices: DataFrame, side: DataFrame) -> tuple[Mesh, DataFrame]:
+    """Every one of the vertices (id) in two: the elements (etype, id) of ``side`` go to the new one, the others keep the old; (old, new) too.
+
+    The mesh is open afterwards along what the split vertices span, as a crack or an interface is.
+    """
+    last = mesh.vertex.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    some = mesh.vertex.join(vertices.select("id").distinct(), "id", "left_semi")
+    pairs = dense_ids(some, ["id"], "new", last + 1)
+    moved = mesh.element.join(side.select(*KEY).distinct(), KEY, "left_semi")
+    stay = mesh.element.join(side.select(*KEY).distinct(), KEY, "left_anti")
+    to = pairs.select(F.col("id").alias("old"), "new")
+    twin = pairs.select(F.col("new").alias("id"), "x", "y", "z")
+    return replace(mesh, vertex=mesh.vertex.unionByName(twin), element=stay.unionByName(rewrite(moved, to).select("etype", "id", "conn"))), to
+
+
 def merge_by_value(tag: DataFrame) -> DataFrame:
     """(etype, old, new): of each type and value the smallest id survives."""
     least = tag.groupBy("etype", "value").agg(F.min("id").alias("new"))

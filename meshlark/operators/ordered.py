@@ -22,6 +22,17 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "gid", first: int = 1
     return dealt.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__o") + local + (first - 1)).cast("bigint")).drop("__p", "__o")
 
 
+def search(values: DataFrame, keys: DataFrame, value: str = "value") -> DataFrame:
+    """(id, pos): for every key (id, and a column ``value``) how many of the values are less: where it would go into the sorted list.
+
+    A key's place among keys and values together, less its place among the keys, both by range partitions.
+    """
+    k = keys.select("id", F.col(value).alias("v"))
+    both = k.withColumn("late", F.lit(0)).unionByName(values.select(F.lit(None).cast(keys.schema["id"].dataType).alias("id"), F.col(value).alias("v"), F.lit(1).alias("late")))
+    among = dense_ids(both, ["v", "late", "id"], "a", 0).where("late = 0").select("id", "a")
+    return among.join(dense_ids(k, ["v", "id"], "b", 0).select("id", "b"), "id").select("id", (F.col("a") - F.col("b")).alias("pos"))
+
+
 def slices(df: DataFrame, order: list[str], parts: int, name: str = "part") -> DataFrame:
     """Contiguous slices of near-equal size, numbered from 0; the first n mod ``parts`` have one row more."""
     numbered = dense_ids(df, order, "__g", 0)

@@ -53,42 +53,63 @@ def within(member: DataFrame, sids: DataFrame, lowest: int, highest: int, recurs
     return contents(member, sids, recursive).where(F.col("etype").between(lowest, highest))
 
 
-def add(member: DataFrame, eset: DataFrame, sid: int, entities: DataFrame) -> DataFrame:
-    """Members with the entities added: a SET holds each once, an ORDERED set appends them in row order of ``pos`` or id."""
-    own = eset.where(F.col("sid") == sid).select("ordered")
-    last = member.where(F.col("sid") == sid).agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))
-    new = entities.select(*KEY, *( ["pos"] if "pos" in entities.columns else [F.lit(0).alias("pos")]))
+def _once(member: DataFrame) -> DataFrame:
+    return member.where(F.col("pos").isNotNull()).unionByName(member.where(F.col("pos").isNull()).dropDuplicates(["sid", *KEY]))
+
+
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with k, from 0 in each set; a set of any size spreads over tasks."""
     from .ordered import dense_ids
 
-    numbered = dense_ids(new, ["pos", *KEY], "k", 1).select(*KEY, "k").crossJoin(F.broadcast(last)).crossJoin(F.broadcast(own))
-    fresh = numbered.select(F.lit(sid).cast("bigint").alias("sid"), F.when(F.col("ordered"), (F.col("last") + F.col("k")).cast("int")).alias("pos"), *KEY)
-    out = member.unionByName(fresh)
-    once = out.where(F.col("pos").isNull()).dropDuplicates(["sid", *KEY])
-    return out.where(F.col("pos").isNotNull()).unionByName(once)
+    k = dense_ids(rows, ["sid", *order], "k", 0)
+    return k.join(k.groupBy("sid").agg(F.min("k").alias("k0")), "sid").withColumn("k", F.col("k") - F.col("k0")).drop("k0")
+
+
+def add_each(member: DataFrame, eset: DataFrame, rows: DataFrame) -> DataFrame:
+    """Members with the rows (sid, etype, id) added: a SET holds each once, an ORDERED set appends them in the order of ``pos``, if there, and id."""
+    order = ["pos"] if "pos" in rows.columns else []
+    last = member.groupBy("sid").agg(F.max("pos").alias("last"))
+    new = _numbered(rows.select("sid", *order, *KEY), [*order, *KEY]).join(eset.select("sid", "ordered"), "sid").join(last, "sid", "left")
+    pos = F.when(F.col("ordered"), (F.coalesce("last", F.lit(-1)) + 1 + F.col("k")).cast("int"))
+    return _once(member.unionByName(new.select("sid", pos.alias("pos"), *KEY)))
+
+
+def add(member: DataFrame, eset: DataFrame, sid: int, entities: DataFrame) -> DataFrame:
+    """:func:`add_each` for one set."""
+    return add_each(member, eset, entities.withColumn("sid", F.lit(sid).cast("bigint")))
+
+
+def remove_each(member: DataFrame, rows: DataFrame) -> DataFrame:
+    """Members without the rows (sid, etype, id); of an ordered set all occurrences go."""
+    return member.join(rows.select("sid", *KEY).distinct(), ["sid", *KEY], "left_anti")
 
 
 def remove(member: DataFrame, sid: int, entities: DataFrame) -> DataFrame:
-    gone = entities.select(F.lit(sid).cast("bigint").alias("sid"), *KEY).distinct()
-    return member.join(gone, ["sid", *KEY], "left_anti")
+    return remove_each(member, entities.withColumn("sid", F.lit(sid).cast("bigint")))
+
+
+def swap_each(member: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every (sid, etype, id) that stands in ``pairs`` becomes (new_etype, new_id), in place where ordered; a SET stays free of repeats."""
+    p = pairs.select("sid", *KEY, "new_etype", "new_id")
+    return _once(member.join(p, ["sid", *KEY], "left").select("sid", "pos", F.coalesce("new_etype", "etype").alias("etype"), F.coalesce("new_id", "id").alias("id")))
 
 
 def swap(member: DataFrame, sid: int, pairs: DataFrame) -> DataFrame:
-    """Every (etype, id) of the set that stands in ``pairs`` becomes (new_etype, new_id), in place where ordered; a SET stays free of repeats."""
-    p = pairs.select(F.lit(sid).cast("bigint").alias("sid"), *KEY, "new_etype", "new_id")
-    out = member.join(p, ["sid", *KEY], "left").select("sid", "pos", F.coalesce("new_etype", "etype").alias("etype"), F.coalesce("new_id", "id").alias("id"))
-    return out.where(F.col("pos").isNotNull()).unionByName(out.where(F.col("pos").isNull()).dropDuplicates(["sid", *KEY]))
+    return swap_each(member, pairs.withColumn("sid", F.lit(sid).cast("bigint")))
 
 
-def convert(member: DataFrame, sid: int, ordered: bool) -> DataFrame:
-    """The set as the other kind: to SET drops order and repeats; to ORDERED numbers in (etype, id) order."""
-    own, rest = member.where(F.col("sid") == sid), member.where(F.col("sid") != sid)
+def convert_each(member: DataFrame, ordered: bool) -> DataFrame:
+    """All sets of ``member`` as the other kind: to SET drops order and repeats; to ORDERED numbers in (etype, id) order."""
     if ordered:
-        from .ordered import dense_ids
-
-        new = dense_ids(own.select("sid", *KEY), KEY, "pos", 0).withColumn("pos", F.col("pos").cast("int"))
+        new = _numbered(member.select("sid", *KEY), KEY).withColumn("pos", F.col("k").cast("int"))
     else:
-        new = own.select("sid", *KEY).distinct().withColumn("pos", F.lit(None).cast("int"))
-    return rest.unionByName(new.select(*member.columns))
+        new = member.select("sid", *KEY).distinct().withColumn("pos", F.lit(None).cast("int"))
+    return new.select(*member.columns)
+
+
+def convert(member: DataFrame, sid: int, ordered: bool) -> DataFrame:
+    own, rest = member.where(F.col("sid") == sid), member.where(F.col("sid") != sid)
+    return rest.unionByName(convert_each(own, ordered))
 
 
 def contents(member: DataFrame, sids: DataFrame, recursive: bool = False, hops: int = -1) -> DataFrame:

@@ -180,7 +180,7 @@ def inverted_index(spark, sf):
 _LINE = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity"
 _RING = f"""line AS (SELECT l_orderkey AS id, l_partkey AS v, row_number() OVER ({_LINE}) AS r, lag(l_partkey) OVER ({_LINE}) AS was,
  min(l_partkey) OVER ({_LINE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lo, max(l_partkey) OVER ({_LINE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM lineitem),
-ring AS (SELECT id, v, lead(v) OVER w AS nxt, first_value(v) OVER w AS fst FROM line WHERE was IS NULL OR was <> v OR lo <> hi WINDOW w AS (PARTITION BY id ORDER BY r)),
+ring AS (SELECT id, r, v, lead(v) OVER w AS nxt, first_value(v) OVER w AS fst FROM line WHERE was IS NULL OR was <> v OR lo <> hi WINDOW w AS (PARTITION BY id ORDER BY r)),
 edge AS (SELECT id, v AS a, coalesce(nxt, fst) AS b FROM ring), key AS (SELECT id, least(a, b) AS lo, greatest(a, b) AS hi FROM edge)"""
 
 
@@ -357,12 +357,6 @@ def metric_min_max(spark, sf):
     return m.select("label", "metric", F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"))
 
 
-@query("SELECT label, count(*) AS n, round(covar_pop(embedding[1]::DOUBLE, embedding[2]::DOUBLE), 8) AS cov_xy, round(var_pop(embedding[1]::DOUBLE), 8) AS cov_xx FROM embeddings GROUP BY label")
-def oriented_box_axes(spark, sf):
-    p = t.points(spark, sf)
-    return aggregate.oriented_box(p, ["label"]).join(p.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", F.round("cov_xy", 8).alias("cov_xy"), F.round("cov_xx", 8).alias("cov_xx"))
-
-
 # --- order ---------------------------------------------------------------
 
 
@@ -480,15 +474,6 @@ def round_robin_parts(spark, sf):
     return partition.round_robin(t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), 6, ["id"])
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
-def consistency_check(spark, sf):
-    """Sharing is symmetric: no link lacks its counterpart; n counts the links to check."""
-    p = t.part_of(spark, sf)
-    links = p.select("part_id", "id", F.col("part_id").alias("other"), F.col("id").alias("other_id"))
-    bad = partition.asymmetric(links).agg(F.count("*").alias("bad"))
-    return links.agg(F.count("*").alias("n")).crossJoin(bad).select((F.col("n") - F.col("bad")).alias("n"))
-
-
 # --- space ---------------------------------------------------------------
 
 _PT = "(SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label FROM embeddings)"

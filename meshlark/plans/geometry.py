@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import quality, sphere
 from ..functions import topology as T
 from ..functions import vectors as v
-from ..operators import adjacency, aggregate, coupler, dml, graph, ordered, overlay, partition, refine, solids, spatial, structured
+from ..operators import adjacency, aggregate, coupler, dml, ordered, overlay, partition, refine, solids, spatial, structured
 from ..operators.mesh import Mesh
 from . import tables as t
 
@@ -78,15 +78,6 @@ def construct_sides(spark, sf):
     return out
 
 
-@query("SELECT o_orderkey AS etype, 0 AS side, 0 AS n FROM orders WHERE false")
-def side_senses(spark, sf):
-    """Faces made from the cells run as their first cell's sides do: no pair without an agreeing sense."""
-    e = _brick(spark).element
-    faces = adjacency.construct_sides(e, 2)
-    m = adjacency.match_sides(e, faces, 2)
-    return m.groupBy("to_id").agg(F.max("sense").alias("top"), F.count("*").alias("k"), F.sum("sense").alias("s")).where("top <> 1 OR (k = 2 AND s <> 0)").select(F.col("to_id").alias("etype"), F.lit(0).alias("side"), F.col("k").cast("int").alias("n"))
-
-
 @query(f"SELECT id, side, CAST(CASE side WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS opposite FROM (SELECT i + {N[0]} * j + 1 AS id, unnest([0, 1, 2, 3]) AS side FROM range({N[0]}) a(i), range({N[1]}) b(j))")
 def opposite_sides(spark, sf):
     m = structured.brick(spark, (0, 0, 0, N[0], N[1], 0))
@@ -219,11 +210,6 @@ def closest_surface(spark, sf):
     return solids.closest(_probe(spark, sf).where(_IN), _surface(spark), 1.0).select("point", F.round("dist", 6).alias("dist"))
 
 
-@query("SELECT 0 AS n")
-def sealed_check(spark, sf):
-    return solids.unsealed(_surface(spark)).agg(F.count("*").cast("int").alias("n"))
-
-
 # --- overlay -------------------------------------------------------------
 
 _CUT = "FROM range(6) a(i), range(5) b(j), range(4) c(p), range(3) d(q) WHERE least(i + 1, (p + 1) * 1.5) > greatest(i, p * 1.5) AND least(j + 1, (q + 1) * 1.6666666666666667) > greatest(j, q * 1.6666666666666667) + 1e-9"
@@ -288,22 +274,6 @@ def quality_range(spark, sf):
     return r.select("metric", F.round("least", 5).alias("least"), F.round("greatest", 5).alias("greatest"))
 
 
-@query("SELECT 1.0::DOUBLE AS scaled_jacobian, 1.0::DOUBLE AS shape, 1.0::DOUBLE AS shear, 1.0::DOUBLE AS edge_ratio, 0.0::DOUBLE AS skew, 0.0::DOUBLE AS oddy, 1.0::DOUBLE AS condition, 1.0::DOUBLE AS volume")
-def quality_hexes(spark, sf):
-    """Unit cubes have perfect values."""
-    m = _brick(spark)
-    names = ["scaled_jacobian", "shape", "shear", "edge_ratio", "skew", "oddy", "condition", "volume"]
-    q = quality.measure(m.element, m.vertex, "hex", names)
-    return q.select(*[F.round(n, 9).alias(n) for n in names]).distinct()
-
-
-@query("SELECT 1.0::DOUBLE AS scaled_jacobian, 1.0::DOUBLE AS shape, 90.0::DOUBLE AS minimum_angle, 1.0::DOUBLE AS stretch, 0.0::DOUBLE AS warpage, 0.0::DOUBLE AS taper, 1.0::DOUBLE AS area")
-def quality_quads(spark, sf):
-    m = structured.brick(spark, (0, 0, 0, N[0], N[1], 0))
-    names = ["scaled_jacobian", "shape", "minimum_angle", "stretch", "warpage", "taper", "area"]
-    return quality.measure(m.element, m.vertex, "quad", names).select(*[F.round(n, 9).alias(n) for n in names]).distinct()
-
-
 @query(f"SELECT vec_id AS id, round(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END, 6) AS lon, round(asin(z / sqrt(x*x+y*y+z*z)), 6) AS lat FROM (SELECT vec_id, {_C} FROM embeddings)")
 def sphere_coordinates(spark, sf):
     p = t.points(spark, sf)
@@ -338,13 +308,6 @@ def merge_tolerance(spark, sf):
     return dml.merge_close(t.points(spark, sf), 0.03)
 
 
-@query("SELECT c_nationkey AS node FROM customer WHERE false")
-def graph_components(spark, sf):
-    """All cells of the box hang together: none has another root than the first."""
-    n = adjacency.neighbours(_brick(spark).element, 2).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return graph.components(n).where("root <> 1").select(F.col("node").cast("int").alias("node"))
-
-
 @query("SELECT part, count(*) AS n FROM (SELECT CAST(ntile(5) OVER (ORDER BY vec_id) - 1 AS INTEGER) AS part FROM embeddings) GROUP BY part")
 def curve_parts(spark, sf):
     """Slices of the Z-order curve have near-equal size."""
@@ -366,13 +329,11 @@ def vertex_rings(spark, sf):
     return ordered.rings(m.element).where("closed").select("vid", F.size("ring").alias("size"), "closed")
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['boundary', 'boundary', 'other']) AS kind FROM range(1)) GROUP BY kind")
+@query(f"SELECT 'boundary' AS kind, {2 * (N[0] + N[1])}::BIGINT AS n UNION ALL SELECT 'other', {2 * N[0] * N[1] - N[0] - N[1]}")
 def boundary_kinds(spark, sf):
-    """A flat quad grid of one by two cells: kinds of edges; two of each three are on the boundary."""
+    """Kinds of the edges of a flat quad grid."""
     m = structured.brick(spark, (0, 0, 0, N[0], N[1], 0))
-    k = adjacency.boundary_class(m.element, m.vertex).groupBy("kind").agg(F.count("*").alias("k"))
-    share = F.when(F.col("kind") == "boundary", F.col("k") / (2 * (N[0] + N[1])) * 2).otherwise(F.col("k") / (2 * N[0] * N[1] - N[0] - N[1]))
-    return k.select("kind", share.cast("bigint").alias("n"))
+    return adjacency.boundary_class(m.element, m.vertex).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey AS id, round(CASE WHEN s <= 1 THEN s * s / 2 WHEN s < 2 THEN 1 - (2 - s) * (2 - s) / 2 ELSE 1 END, 9) AS volume FROM (SELECT p_partkey, p_size / 23.0::DOUBLE AS s FROM part)")

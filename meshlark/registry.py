@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import core, events, geometry
+from .plans import core, entities, events, geometry
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return core.Q | geometry.Q | events.Q
+    return core.Q | geometry.Q | entities.Q | events.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return core.SQL | geometry.SQL | events.SQL
+    return core.SQL | geometry.SQL | entities.SQL | events.SQL

@@ -398,3 +398,52 @@ def test_strings(spark):
     got = {r["n"]: r["m"] for r in d.collect()}
     assert got == {"mat_12_rho_1.0": {"mat": "12", "rho": "1.0"}, "graveyard": {"graveyard": ""}, "mat_7": {"mat": "7"}}
     assert d.first()["u"] == ["a", "b"]
+
+
+def test_tree_by_medians(spark):
+    import random
+
+    from meshlark.operators import trees
+
+    r = random.Random(3)
+    pts = [(k, r.random(), r.random() * 2, r.random()) for k in range(200)]
+    nodes, leaves = trees.build(spark.createDataFrame(pts, "id long, x double, y double, z double"), 3)
+    at = dict(rows(leaves, "id", "node"))
+    boxes = {n["node"]: n for n in nodes.collect()}
+    assert len(at) == 200 and sum(n["n"] for n in boxes.values() if n["level"] == 3) == 200 and boxes[1]["n"] == 200
+    for k, x, y, z in pts:
+        node = at[k]
+        while node:
+            b = boxes[node]
+            assert b["xmin"] <= x <= b["xmax"] and b["ymin"] <= y <= b["ymax"] and b["zmin"] <= z <= b["zmax"]
+            node //= 2
+    rays = [(k, -1.0, r.random() * 2, r.random(), 1.0, r.uniform(-1, 1), 0.0) for k in range(30)]
+    got = {(h["ray"], h["node"]): (h["enter"], h["leave"]) for h in trees.ray_leaves(nodes, spark.createDataFrame(rays, "ray long, ox double, oy double, oz double, dx double, dy double, dz double"), 3).collect()}
+    want = {}
+    for k, *od in rays:
+        for n, b in boxes.items():
+            lo, hi = 0.0, float("inf")
+            for o, d, c in zip(od[:3], od[3:], "xyz", strict=True):
+                if d:
+                    s, e = sorted(((b[f"{c}min"] - o) / d, (b[f"{c}max"] - o) / d))
+                    lo, hi = max(lo, s), min(hi, e)
+                elif not b[f"{c}min"] <= o <= b[f"{c}max"]:
+                    hi = -1.0
+            if n >= 8 and lo <= hi:
+                want[k, n] = (lo, hi)
+    assert got.keys() == want.keys() and want
+    for k, w in want.items():
+        assert got[k] == pytest.approx(w)
+
+
+def test_oriented_box_and_odd_edits(spark):
+    from meshlark.operators import dml, spatial
+
+    line = [(1, t * 3.0, t * 4.0, 0.1 * (t % 2)) for t in range(20)]
+    b = aggregate.oriented_box(spark.createDataFrame(line, "g int, x double, y double, z double"), ["g"]).collect()[0]
+    assert b["axes"][0] == pytest.approx([0.6, 0.8, 0.0], abs=1e-2) and b["half"][0] == pytest.approx(47.5, abs=1e-2)
+    p = "id long, x double, y double, z double"
+    far = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, float("nan"), 0.0, 0.0), (3, None, 0.0, 0.0), (4, 1e12, 0.0, 0.0)], p)
+    assert rows(spatial.nearest(far, spark.createDataFrame([(9, 1.0, 0.0, 0.0), (8, float("inf"), 0.0, 0.0)], p)), "a", "b") == [(1, 9), (4, 9)]
+    base = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "id long, v int, w string")
+    assert rows(dml.upsert(base, spark.createDataFrame([(2, 5, "x"), (2, 7, "c"), (3, 1, "d")], base.schema), ["id"])) == [(1, 1, "a"), (2, 7, "c"), (3, 1, "d")]
