@@ -48,8 +48,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, coords: tuple[str, ..
     if not box["n"]:
         return left.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("rank")).limit(0)
     k = min(k, box["n"])
-    spans = [max(box[c], 1e-9) for c in coords]
-    radius = 1.5 * (math.prod(spans) * k / box["n"]) ** (1 / len(coords))
+    reach = [F.max(F.greatest(*[F.abs(c) for c in coords])) if len(coords) > 1 else F.max(F.abs(coords[0]))]
+    largest = max(d.agg(*reach).first()[0] or 0.0 for d in (left, right))
+    spans = [box[c] for c in coords if box[c] > 0]
+    radius = 1.5 * (math.prod(spans) * k / box["n"]) ** (1 / len(spans)) if spans else largest
+    radius = max(radius, largest * 2.0**-40) or 1.0  # cell numbers stay whole
     rest, out = left.select("id", *coords), None
     w = Window.partitionBy("a").orderBy("dist", "b")
     while True:
