@@ -23,10 +23,13 @@ def query(sql: str):  # noqa: ANN201
     return put
 
 
-POLYGON, EDGE, VERTEX = (F.lit(T.CODE[n]).cast("tinyint") for n in ("polygon", "edge", "vertex"))
 PART = "(SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, 0.0::DOUBLE AS z FROM part)"
 
 
+def _code(name: str):  # noqa: ANN202
+    return F.lit(T.CODE[name]).cast("tinyint")
+
+
 def _mesh(spark: SparkSession, sf: str, **rest) -> Mesh:  # noqa: ANN003
     return Mesh.build(t.vertices(spark, sf).withColumn("z", F.lit(0.0)), t.elements(spark, sf), **rest)
 
@@ -58,8 +61,8 @@ r AS (SELECT id, least(p.new, q.new) AS lo, greatest(p.new, q.new) AS hi FROM e
 
 def _merged(spark, sf):  # noqa: ANN001, ANN202
     e = t.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a < b")
-    member = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid"), F.lit(None).cast("int").alias("pos"), EDGE.alias("etype"), F.col("o_orderkey").alias("id"))
-    element = e.select(EDGE.alias("etype"), "id", F.array("a", "b").alias("conn"))
+    member = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid"), F.lit(None).cast("int").alias("pos"), _code("edge").alias("etype"), F.col("o_orderkey").alias("id"))
+    element = e.select(_code("edge").alias("etype"), "id", F.array("a", "b").alias("conn"))
     tag = t.tag(spark, sf, "orders", "o_orderkey", "o_orderpriority", T.CODE["edge"])
     m = Mesh.build(t.vertices(spark, sf).withColumn("z", F.lit(0.0)), element, member=member.join(e, "id", "left_semi").select(*member.columns), tags={"priority": tag.join(e, "id", "left_semi").select("etype", "id", "value")})
     return dml.apply_merge(m, core.merge_integer_tag(spark, sf))
@@ -96,8 +99,8 @@ def set_connectivity(spark, sf):
 @query(f"SELECT DISTINCT id, vid FROM (SELECT o_orderkey AS id, o_custkey AS vid FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT id, vid FROM {core.INC} WHERE vid % 3 = 0) WHERE id % 7 <> 0 OR vid % 2 <> 0")
 def adjacency_edits(spark, sf):
     """Explicit adjacencies: some there, some added, some removed, kept both ways round."""
-    o = t.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(POLYGON.alias("etype"), F.col("o_orderkey").alias("id"), VERTEX.alias("to_etype"), F.col("o_custkey").alias("to_id"))
-    i = t.incidence(spark, sf).where("vid % 3 = 0").select("etype", "id", VERTEX.alias("to_etype"), F.col("vid").alias("to_id"))
+    o = t.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(_code("polygon").alias("etype"), F.col("o_orderkey").alias("id"), _code("vertex").alias("to_etype"), F.col("o_custkey").alias("to_id"))
+    i = t.incidence(spark, sf).where("vid % 3 = 0").select("etype", "id", _code("vertex").alias("to_etype"), F.col("vid").alias("to_id"))
     start = o.unionByName(o.toDF("to_etype", "to_id", "etype", "id"))
     gone = o.unionByName(i).where("id % 7 = 0 AND to_id % 2 = 0")
     out = dml.edit_adjacencies(start, i, gone)
@@ -110,7 +113,7 @@ SELECT l_orderkey AS id, list(CASE WHEN o_orderstatus = 'F' THEN coalesce(new, l
 FROM lineitem LEFT JOIN s ON old = l_partkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""")
 def split_vertices(spark, sf):
     """Vertices in two along what divides final orders from the others."""
-    side = t.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(POLYGON.alias("etype"), F.col("o_orderkey").alias("id"))
+    side = t.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(_code("polygon").alias("etype"), F.col("o_orderkey").alias("id"))
     m, _ = dml.split_vertices(_mesh(spark, sf), t.table(spark, sf, "part").where("p_size BETWEEN 7 AND 12").select(F.col("p_partkey").alias("id")), side)
     return m.element.select("id", _said("conn").alias("conn"))
 
@@ -118,7 +121,7 @@ def split_vertices(spark, sf):
 @query("SELECT o_orderkey AS id, 4 * 72057594037927936 + o_orderkey AS handle, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders")
 def handle_order(spark, sf):
     """Handles sort by type, then id, and give both back."""
-    o = t.table(spark, sf, "orders").select(T.pack_handle(POLYGON, F.col("o_orderkey")).alias("handle"))
+    o = t.table(spark, sf, "orders").select(T.pack_handle(_code("polygon"), F.col("o_orderkey")).alias("handle"))
     kind, eid = T.unpack_handle(F.col("handle"))
     return ordered.dense_ids(o, ["handle"], "rank").where(kind == T.CODE["polygon"]).select(eid.alias("id"), "handle", "rank")
 
@@ -145,7 +148,7 @@ _NATION = f"SELECT c_nationkey + {t.NATION} AS sid, c_custkey + {t.CUSTOMER} AS
 def set_add(spark, sf):
     """Nations' sets get their dear orders too, each once though added twice."""
     o, c = t.table(spark, sf, "orders").where("o_totalprice > 300000"), t.table(spark, sf, "customer")
-    new = o.join(c, o.o_custkey == c.c_custkey).select((F.col("c_nationkey") + F.lit(t.NATION)).alias("sid"), POLYGON.alias("etype"), F.col("o_orderkey").alias("id"))
+    new = o.join(c, o.o_custkey == c.c_custkey).select((F.col("c_nationkey") + F.lit(t.NATION)).alias("sid"), _code("polygon").alias("etype"), F.col("o_orderkey").alias("id"))
     member = t.set_members(spark, sf).where(F.col("sid").between(t.NATION, t.CUSTOMER - 1))
     eset = member.select("sid").distinct().select("sid", F.lit(False).alias("ordered"), F.lit(False).alias("track"))
     return sets.add_each(member, eset, new.unionByName(new)).select("sid", "id")
@@ -154,7 +157,7 @@ def set_add(spark, sf):
 @query("SELECT sid, CAST(row_number() OVER (PARTITION BY sid ORDER BY late, id) - 1 AS INTEGER) AS pos, id FROM (SELECT o_custkey AS sid, 0 AS late, o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders WHERE o_totalprice > 300000 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F'))")
 def set_append(spark, sf):
     """Ordered sets of customers' open orders, and the dear ones appended, repeats and all."""
-    o = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid"), F.lit(None).cast("int").alias("pos"), POLYGON.alias("etype"), F.col("o_orderkey").alias("id"), "o_orderstatus", "o_totalprice")
+    o = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid"), F.lit(None).cast("int").alias("pos"), _code("polygon").alias("etype"), F.col("o_orderkey").alias("id"), "o_orderstatus", "o_totalprice")
     start = sets.convert_each(o.where("o_orderstatus <> 'F'").select("sid", "pos", "etype", "id"), True)
     eset = start.select("sid").distinct().select("sid", F.lit(True).alias("ordered"), F.lit(False).alias("track"))
     return sets.add_each(start, eset, o.where("o_totalprice > 300000").select("sid", "etype", "id")).select("sid", "pos", "id")
@@ -162,14 +165,14 @@ def set_append(spark, sf):
 
 @query("SELECT o_custkey AS sid, o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'")
 def set_remove(spark, sf):
-    o = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid"), F.lit(None).cast("int").alias("pos"), POLYGON.alias("etype"), F.col("o_orderkey").alias("id"), "o_orderstatus")
+    o = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid"), F.lit(None).cast("int").alias("pos"), _code("polygon").alias("etype"), F.col("o_orderkey").alias("id"), "o_orderstatus")
     return sets.remove_each(o.drop("o_orderstatus"), o.where("o_orderstatus = 'F'")).select("sid", "id")
 
 
 @query("SELECT DISTINCT o_custkey AS sid, CASE WHEN o_orderpriority = '1-URGENT' THEN min(o_orderkey) OVER (PARTITION BY o_custkey) ELSE o_orderkey END AS id FROM orders")
 def set_replace(spark, sf):
     """Urgent orders give way to their customer's first."""
-    o = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid"), F.lit(None).cast("int").alias("pos"), POLYGON.alias("etype"), F.col("o_orderkey").alias("id"), "o_orderpriority")
+    o = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid"), F.lit(None).cast("int").alias("pos"), _code("polygon").alias("etype"), F.col("o_orderkey").alias("id"), "o_orderpriority")
     first = o.groupBy("sid").agg(F.min("id").alias("new_id"))
     pairs = o.where("o_orderpriority = '1-URGENT'").join(first, "sid").select("sid", "etype", "id", F.col("etype").alias("new_etype"), "new_id")
     return sets.swap_each(o.drop("o_orderpriority"), pairs).select("sid", "id")
@@ -306,7 +309,7 @@ def side_senses(spark, sf):
     """Sides of polygons against edges that run from the smaller vertex to the larger."""
     e = t.elements(spark, sf)
     number = F.col("key")[0] * F.lit(1 << 31) + F.col("key")[1]
-    lower = adjacency.sides(e, 1).select("key").distinct().select(EDGE.alias("etype"), number.alias("id"), F.col("key").alias("conn"))
+    lower = adjacency.sides(e, 1).select("key").distinct().select(_code("edge").alias("etype"), number.alias("id"), F.col("key").alias("conn"))
     m = adjacency.match_sides(e, lower, 1)
     return m.select("id", "side", F.shiftright("to_id", 31).alias("lo"), F.col("to_id").bitwiseAND(F.lit((1 << 31) - 1)).alias("hi"), "sense")
 
