@@ -34,3 +34,11 @@ def test_query(spark, db, name):
     want = db.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False)
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=root, check=True)
