@@ -34,17 +34,18 @@ def reach(links: DataFrame, start: DataFrame, hops: int = -1) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for nodes with a smaller one in their component; edges (u, v) of bigint in any order.
 
-    Rounds of hooking each node on its smallest neighbour and jumping to the parent's parent, until nothing moves.
+    Rounds of large and small stars: every node hangs its larger neighbours on its smallest one, then its smaller ones, until all
+    edges lead to roots.  The rounds grow with the logarithm of a component's size, for long chains too.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-    both = persist(both)
-    label = persist(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    e = persist(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy(F.col("u").alias("node")).agg(F.min("r").alias("r"))
-        hooked = label.join(near, "node").select("node", F.least("root", "r").alias("next"), "root")
-        up = label.select(F.col("node").alias("next"), F.col("root").alias("jump"))
-        moved = persist(hooked.join(up, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("new"), "root"))
-        label = moved.select("node", F.col("new").alias("root"))
-        if moved.where("new <> root").isEmpty():
-            return label.where("node <> root")
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = persist(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = persist(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        roots = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        if roots and e.groupBy("u").count().where("count > 1").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -388,6 +388,27 @@ def test_topology_restored(spark):
     assert rows(solids.next_volume(sides, hits), "ray", "next") == [(0, 2), (1, 1)]
 
 
+def test_components_of_long_chains(spark):
+    r = random.Random(8)
+    ids = list(range(600))
+    r.shuffle(ids)
+    edges = list(zip(ids[:400], ids[1:400], strict=False)) + list(zip(ids[400:], ids[401:], strict=False)) + [(7_000 + k, 7_000) for k in range(50)]
+    least = {x: min(part) for part in (ids[:400], ids[400:], range(7_000, 7_050)) for x in part}
+    got = rows(graph.components(spark.createDataFrame(edges, "u bigint, v bigint")), "node", "root")
+    assert got == sorted((x, m) for x, m in least.items() if x != m)
+    assert rows(graph.components(spark.createDataFrame([], "u bigint, v bigint"))) == []
+
+
+def test_checkpoints_forget_guessed_sizes(spark):
+    from meshlark.checkpoints import persist
+
+    size = lambda d: len(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    d = persist(spark.range(5).withColumn("x", F.lit(1)))
+    for _ in range(4):
+        d = persist(d.join(d.select("id", F.col("x").alias("y")), "id").select("id", "x"))
+    assert size(d) < 25 and rows(d) == [(k, 1) for k in range(5)]
+
+
 def test_strings(spark):
     assert strings.id_list("1-3,7") == [1, 2, 3, 7]
     with pytest.raises(ValueError):
