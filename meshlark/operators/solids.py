@@ -25,6 +25,33 @@ def _corner(k: int) -> v.Vec:
     return tuple(F.col(f"{c}{k}") for c in "xyz")
 
 
+#: Listed triangles up to which they are broadcast; more meet points or rays by a merge join.  Sizes are counted: Spark's own guess misses what lists of cells unfold to.
+FEW = 200_000
+
+
+def _listed(tris: DataFrame, cell: float, grow: float) -> tuple[DataFrame, bool, list[tuple[float, float]]]:
+    """Triangles by the cells (cx, cy, cz) of their boxes grown by ``grow`` cells; whether these are few; the box of all, by axis."""
+    ends = {c: [f(*[F.col(f"{c}{k}") for k in range(3)]) for f in (F.least, F.greatest)] for c in "xyz"}
+    span = {c: (F.floor(lo / cell - grow), F.floor(hi / cell + grow)) for c, (lo, hi) in ends.items()}
+    n = F.lit(1.0)
+    for lo, hi in span.values():
+        n = n * (hi - lo + 1)
+    got = tris.agg(F.sum(n).alias("n"), *[f(e).alias(f"{c}{m}") for c, es in ends.items() for f, e, m in zip((F.min, F.max), es, ("lo", "hi"), strict=True)]).first()
+    out = tris.select("surface", "id", *[f"{c}{k}" for k in range(3) for c in "xyz"])
+    for c, (lo, hi) in span.items():
+        out = out.withColumn(f"c{c}", F.explode(F.sequence(lo, hi)))
+    return out, (got["n"] or 0) <= FEW, [(got[f"{c}lo"] or 0.0, got[f"{c}hi"] or 0.0) for c in "xyz"]
+
+
+def _meet(left: DataFrame, listed: DataFrame, few: bool) -> DataFrame:
+    return left.join(F.broadcast(listed), ["cx", "cy", "cz"]) if few else left.hint("merge").join(listed, ["cx", "cy", "cz"])
+
+
+def _once(df: DataFrame, **named) -> DataFrame:  # noqa: ANN003
+    """``df`` with these columns, each worked out once a row: filters on them would else repeat the whole expression, which then grows past what the JVM compiles."""
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in named.items()]))))
+
+
 def ray_hits(rays: DataFrame, tris: DataFrame, cell: float, limit: float) -> DataFrame:
     """(ray, surface, id, t): all triangles that rays (ray, ox..oz, dx..dz; unit directions) meet within ``limit``.
 
@@ -81,18 +108,17 @@ def inside_by_ray(points: DataFrame, tris: DataFrame, cell: float, limit: float)
 
 
 def closest(points: DataFrame, tris: DataFrame, reach: float) -> DataFrame:
-    """(point, surface, id, x, y, z, dist): the nearest facet point within ``reach``; cells have that side."""
-    p = points.select(F.col("id").alias("point"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    for c in "xyz":
-        g = F.floor(F.col(f"q{c}") / reach)
-        p = p.withColumn(f"c{c}", F.explode(F.sequence(g - 1, g + 1)))
-    t = tris
-    for c in "xyz":
-        lo, hi = F.least(*[F.col(f"{c}{k}") for k in range(3)]), F.greatest(*[F.col(f"{c}{k}") for k in range(3)])
-        t = t.withColumn(f"c{c}", F.explode(F.sequence(F.floor(lo / reach), F.floor(hi / reach))))
+    """(point, surface, id, x, y, z, dist): the nearest facet point within ``reach``; cells have that side.
+
+    A facet is listed in all cells that its box grown by ``reach`` touches, a point in its own, so a pair meets once; the nearest
+    point is sought for pairs whose box is near enough.
+    """
+    p = points.select(F.col("id").alias("point"), *[F.col(c).alias(f"q{c}") for c in "xyz"], *[F.floor(F.col(c) / reach).alias(f"c{c}") for c in "xyz"])
+    t, few, _ = _listed(tris, reach, 1.001)
     q = (F.col("qx"), F.col("qy"), F.col("qz"))
-    near = p.join(t, ["cx", "cy", "cz"]).withColumn("w", v.closest_on_triangle(q, [_corner(k) for k in range(3)]))
-    near = near.withColumn("dist", v.norm(v.sub(v.at("w"), q))).where(F.col("dist") <= reach)
+    apart = v.sq(tuple(F.greatest(F.least(*[F.col(f"{c}{k}") for k in range(3)]) - x, x - F.greatest(*[F.col(f"{c}{k}") for k in range(3)]), F.lit(0.0)) for c, x in zip("xyz", q, strict=True)))
+    near = _once(_meet(p, t, few).where(apart <= (1.001 * reach) ** 2), w=v.closest_on_triangle(q, [_corner(k) for k in range(3)]))
+    near = _once(near, dist=v.norm(v.sub(v.at("w"), q))).where(F.col("dist") <= reach)
     best = near.groupBy("point").agg(F.min_by(F.struct("surface", "id", "w", "dist"), F.struct("dist", "surface", "id")).alias("b"))
     return best.select("point", "b.surface", "b.id", "b.w.x", "b.w.y", "b.w.z", "b.dist")
 

@@ -409,6 +409,38 @@ def test_checkpoints_forget_guessed_sizes(spark):
     assert size(d) < 25 and rows(d) == [(k, 1) for k in range(5)]
 
 
+def _soup(spark, tmp_path):
+    """Random facets, and points in a small file that unfold to many listed rows."""
+    r = random.Random(9)
+    spots = [(s, k, *[c + r.uniform(-0.7, 0.7) for _ in range(3) for c in at]) for s in (1, 2) for k in range(30) for at in [[r.uniform(-4, 4) for _ in range(3)]]]
+    tris = spark.createDataFrame(spots, "surface bigint, id bigint, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz"))
+    pts = [(k, *[r.uniform(-6, 6) for _ in range(3)]) for k in range(200)]
+    spark.createDataFrame(pts, mesh.VERTEX).write.parquet(f"{tmp_path}/p")
+    return spots, tris, pts, spark.read.parquet(f"{tmp_path}/p")
+
+
+def _reads_points_once(df):
+    """Points are never the side that is broadcast."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "BuildLeft" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_closest_keeps_points_where_they_are(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(solids, "FEW", few, raising=False)
+    spots, tris, pts, p = _soup(spark, tmp_path)
+    got = solids.closest(p, tris, 1.0)
+    assert _reads_points_once(got)
+    every = spark.createDataFrame(pts, "point bigint, qx double, qy double, qz double").crossJoin(tris)
+    q = tuple(F.col(f"q{c}") for c in "xyz")
+    every = every.withColumn("w", v.closest_on_triangle(q, [tuple(F.col(f"{c}{k}") for c in "xyz") for k in range(3)]))
+    best = {}
+    for x in every.select("point", "surface", "id", v.norm(v.sub(v.at("w"), q)).alias("dist")).collect():
+        if x["dist"] <= 1.0:
+            best[x["point"]] = min(best.get(x["point"], (9.0,)), (x["dist"], x["surface"], x["id"]))
+    assert len(best) > 20 and {x["point"]: (x["dist"], x["surface"], x["id"]) for x in got.collect()} == best
+
+
 def test_strings(spark):
     assert strings.id_list("1-3,7") == [1, 2, 3, 7]
     with pytest.raises(ValueError):
