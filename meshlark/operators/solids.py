@@ -55,18 +55,37 @@ def _once(df: DataFrame, **named) -> DataFrame:  # noqa: ANN003
 def ray_hits(rays: DataFrame, tris: DataFrame, cell: float, limit: float) -> DataFrame:
     """(ray, surface, id, t): all triangles that rays (ray, ox..oz, dx..dz; unit directions) meet within ``limit``.
 
-    The ray is listed in the cells of points half a cell apart along it.  A hit lies within a quarter cell of such a
-    point, and triangles are listed in the cells of their boxes grown by that, so only near ones are tested.
+    The ray is listed in the cells of points half a cell apart along it, where it runs through the box of all triangles.  A hit
+    lies within a quarter cell of such a point, and triangles are listed in the cells of their boxes grown by that, so only near
+    ones are tested.
     """
-    steps = math.ceil(limit / (cell / 2))
-    walk = rays.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(steps)))).select("ray", *[f"{n}{c}" for n in "od" for c in "xyz"], *[F.floor((F.col(f"o{c}") + F.col(f"d{c}") * F.col("s") * (cell / 2)) / cell).alias(f"c{c}") for c in "xyz"])
-    t = tris
+    t, few, box = _listed(tris, cell, 0.26)
+    step, enter, leave, there = cell / 2, [F.lit(0.0)], [F.lit(float(limit))], F.lit(True)
+    for c, (lo, hi) in zip("xyz", box, strict=True):
+        o, d, lo, hi = F.col(f"o{c}"), F.nullif(F.col(f"d{c}"), F.lit(0.0)), lo - cell / 64, hi + cell / 64
+        enter.append(F.least((lo - o) / d, (hi - o) / d))  # null, which counts for nothing, along the other axes
+        leave.append(F.greatest((lo - o) / d, (hi - o) / d))
+        there = there & (d.isNotNull() | o.between(lo, hi))
+    within = rays.withColumns({"enter": F.greatest(*enter), "leave": F.least(*leave)}).where(there & (F.col("enter") <= F.col("leave")))
+    walk = within.withColumn("first", F.floor(F.col("enter") / step)).withColumn("s", F.explode(F.sequence(F.col("first"), F.ceil(F.col("leave") / step))))
+    on = lambda s, c: F.floor((F.col(f"o{c}") + F.col(f"d{c}") * s * step) / cell)
+    same = F.col("s") > F.col("first")  # as the point before: it is in the same cell
     for c in "xyz":
-        lo, hi = F.least(*[F.col(f"{c}{k}") for k in range(3)]), F.greatest(*[F.col(f"{c}{k}") for k in range(3)])
-        t = t.withColumn(f"c{c}", F.explode(F.sequence(F.floor(lo / cell - 0.26), F.floor(hi / cell + 0.26))))
-    hit = v.ray_triangle(tuple(F.col(f"o{c}") for c in "xyz"), tuple(F.col(f"d{c}") for c in "xyz"), [_corner(k) for k in range(3)])
-    met = walk.join(t, ["cx", "cy", "cz"]).select("ray", "surface", "id", hit.alias("t"))
-    return met.where(F.col("t").isNotNull() & (F.col("t") <= limit)).distinct()
+        same = same & (on(F.col("s"), c) == on(F.col("s") - 1, c))
+    walk = walk.where(~same).select("ray", *[f"{n}{c}" for n in "od" for c in "xyz"], *[on(F.col("s"), c).alias(f"c{c}") for c in "xyz"])
+    met = _meet(walk, t, few)
+    # v.ray_triangle by steps, each of few enough operations for the JVM to compile
+    o, way = tuple(F.col(f"o{c}") for c in "xyz"), tuple(F.col(f"d{c}") for c in "xyz")
+    named = lambda n, e: {f"{n}{c}": x for c, x in zip("xyz", e, strict=True)}
+    vec = lambda n: tuple(F.col(f"{n}{c}") for c in "xyz")
+    met = _once(met, **named("a", v.sub(_corner(0), o)), **named("b", v.sub(_corner(1), o)), **named("c_", v.sub(_corner(2), o)))
+    met = _once(met, **{f"side{k}": v.det(way, vec(m), vec(n)) for k, (m, n) in enumerate((("a", "b"), ("b", "c_"), ("c_", "a")))})
+    sides = [F.col(f"side{k}") for k in range(3)]
+    met = met.where((F.least(*sides) >= 0) | (F.greatest(*sides) <= 0))
+    met = _once(met, **named("n", v.cross(v.sub(_corner(1), _corner(0)), v.sub(_corner(2), _corner(0)))))
+    met = _once(met, along=v.dot(vec("n"), way), off=v.dot(vec("n"), vec("a"))).where("along <> 0")
+    met = _once(met, t=F.col("off") / F.col("along")).select("ray", "surface", "id", "t")
+    return met.where((F.col("t") >= 0) & (F.col("t") <= limit)).distinct()
 
 
 def fire(rays: DataFrame, tris: DataFrame, cell: float, limit: float, k: int = 1) -> DataFrame:

@@ -441,6 +441,20 @@ def test_closest_keeps_points_where_they_are(spark, tmp_path, monkeypatch, few):
     assert len(best) > 20 and {x["point"]: (x["dist"], x["surface"], x["id"]) for x in got.collect()} == best
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+@pytest.mark.parametrize("way", [solids.DIRECTION, (1.0, 0.0, 0.0), (0.0, -0.6, 0.8)])
+def test_rays_keep_points_where_they_are(spark, tmp_path, monkeypatch, few, way):
+    monkeypatch.setattr(solids, "FEW", few, raising=False)
+    _, tris, pts, p = _soup(spark, tmp_path)
+    ray = lambda d, k: d.select(F.col(k).alias("ray"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *[F.lit(x).alias(f"d{c}") for c, x in zip("xyz", way, strict=True)])
+    got = solids.ray_hits(ray(p, "id"), tris, 0.8, 9.0)
+    assert _reads_points_once(got)
+    hit = v.ray_triangle(tuple(F.col(f"o{c}") for c in "xyz"), tuple(F.col(f"d{c}") for c in "xyz"), [tuple(F.col(f"{c}{k}") for c in "xyz") for k in range(3)])
+    want = ray(spark.createDataFrame(pts, mesh.VERTEX), "id").crossJoin(tris).select("ray", "surface", "id", hit.alias("t")).where("t <= 9")
+    assert rows(want) and rows(got, "ray", "surface", "id", "t") == rows(want)
+    assert rows(solids.ray_hits(ray(p, "id"), tris.limit(0), 0.8, 9.0)) == []
+
+
 def test_strings(spark):
     assert strings.id_list("1-3,7") == [1, 2, 3, 7]
     with pytest.raises(ValueError):
