@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +66,13 @@ def remainder(col: str | object, mod: int):
     return F.crc32(c.cast("string").cast("binary")) % F.lit(mod)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a worker has Python objects for few rows at once."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def blobs(col: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     if pa.types.is_large_string(col.type):

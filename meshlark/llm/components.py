@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import persist
 
 
-#: Edges that a task holds at once.
-HOLD = 500_000
+#: Edges that a task holds at once, in up to 100 MB.
+HOLD = 200_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,18 +66,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Star edges (u, v) of the edges that a function of a worker yields.
+
+    Within that function, as a ``mapInArrow`` on another's result would keep a second worker beside each.
+    """
+    for b in _contract(batches):
+        yield b.select(["u", "v"])
+
+
 def contract(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(_contract, "u bigint, v bigint, changed int")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, stars: bool = False) -> DataFrame:
     """(node, root) of every node that has an edge to a smaller one.
 
     ``edges`` has bigint columns ``u`` and ``v``, in any order, repeats and loops
     allowed.  A node that is its component's smallest has no row.  No edges: no rows.
+    ``stars``: the edges come out of :func:`contracted`, and aren't contracted again before they are dealt.
     """
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = persist(contract(e))
+    e = persist(e if stars else contract(e))
     for _ in range(max_rounds):
         c = contract(e.repartition(F.col("u")).sortWithinPartitions("u", "v"))
         up = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("z"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, sliced
 
 PROFILE = 400
 #: Code points of a text handled at once.
@@ -89,7 +89,7 @@ def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size
                 codes, counts = merged(parts)
                 yield pa.record_batch([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
-        for b in batches:
+        for b in sliced(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for part in gram_codes(text, letters):
                     held.setdefault(lang, []).append(part)
@@ -142,7 +142,7 @@ def predict(df: DataFrame, learned: dict[str, list[int]], id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
-        for b in batches:
+        for b in sliced(batches):
             got = [best(t, letters) for t in b.column(at_text).to_pylist()]
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             first = list(b.columns) if keep else [b.column(0)]

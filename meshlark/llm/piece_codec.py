@@ -38,8 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a U+2581 of the text; a lone surrogate is in no valid text.
 LITERAL = "\udc81"
-#: Units that a generation of a worker's memory has; the last full one is kept beside it.
-CACHE = 250_000
+#: Units that a generation of a worker's memory has; the last full one is kept beside it, both in about 70 MB.
+CACHE = 98_304
 #: Longest unit that is remembered.
 SHORT = 64
 #: Added to a merge rank before Zipf's law gives its probability.

@@ -40,8 +40,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, blobs, persist
-from .components import components
+from .common import aside, blobs, persist, sliced
+from .components import components, contracted
 
 RADIUS = 2
 BLOCK = 1 << 15
@@ -211,10 +211,11 @@ def _masks(bands: list[int]) -> list[int]:
     return [_signed(a | b) for a, b in combinations(bands, 2)]
 
 
-def bucket_links(bucketed: DataFrame, keys: list[str], n_pivots: int, radius: int, ratio: float = 0.0) -> DataFrame:
+def bucket_links(bucketed: DataFrame, keys: list[str], n_pivots: int, radius: int, ratio: float = 0.0, stars: bool = False) -> DataFrame:
     """Edges (u, v) over bigint columns ``node``, ``fp`` and ``n`` that connect the members of every bucket which lie within the radius.
 
-    With ``ratio``, a pair whose smaller ``n`` is less than that share of the larger one isn't linked.
+    With ``ratio``, a pair whose smaller ``n`` is less than that share of the larger one isn't linked.  With ``stars``, a partition's
+    edges give way to star edges that connect the same.
     """
     refs = pivots(n_pivots)
 
@@ -234,11 +235,12 @@ def bucket_links(bucketed: DataFrame, keys: list[str], n_pivots: int, radius: in
             yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
     rows = bucketed.select(*keys, "node", "fp", "n")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "node").mapInArrow(run, "u bigint, v bigint")
+    found = (lambda batches: contracted(run(batches))) if stars else run
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "node").mapInArrow(found, "u bigint, v bigint")
 
 
-def link(distinct_fps: DataFrame, bucket_limit: int = 4096, n_pivots: int = 32) -> DataFrame:
-    """Edges (u, v) that connect every two fingerprints within two bits; ``fp`` must be distinct."""
+def link(distinct_fps: DataFrame, bucket_limit: int = 4096, n_pivots: int = 32, stars: bool = False) -> DataFrame:
+    """Edges (u, v) that connect every two fingerprints within two bits, ``stars`` as in :func:`bucket_links`; ``fp`` must be distinct."""
     quarters = [0xFFFF << 16 * k for k in range(RADIUS + 2)]
     first = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(quarters)])
     keyed = distinct_fps.select("fp", F.posexplode(first).alias("band", "key"))
@@ -253,7 +255,7 @@ def link(distinct_fps: DataFrame, bucket_limit: int = 4096, n_pivots: int = 32)
     none = F.array(F.lit(0).cast("bigint"))
     parts = shared.select("fp", "band", "key", F.posexplode(F.when(F.col("n") > bucket_limit, cuts).otherwise(none)).alias("sub", "mask"))
     parts = parts.select(F.col("band").cast("bigint").alias("band"), "key", F.col("sub").cast("bigint").alias("sub"), F.col("fp").bitwiseAND(F.col("mask")).alias("subkey"), F.col("fp").alias("node"), "fp", F.lit(1).cast("bigint").alias("n"))
-    return bucket_links(parts, ["band", "key", "sub", "subkey"], n_pivots, RADIUS)
+    return bucket_links(parts, ["band", "key", "sub", "subkey"], n_pivots, RADIUS, stars=stars)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bucket_limit: int = 4096, n_pivots: int = 32) -> DataFrame:
@@ -271,7 +273,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def components_of(fps: DataFrame, bucket_limit: int = 4096, n_pivots: int = 32) -> DataFrame:
     """(id, fp) with component_id."""
     reps = persist(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    roots = components(link(reps.select("fp"), bucket_limit, n_pivots))
+    roots = components(link(reps.select("fp"), bucket_limit, n_pivots, stars=True), stars=True)
     named = persist(reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = persist(named.join(least, "root").select("fp", "component_id", "copies"))
@@ -312,7 +314,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     """(id, said, fp, n, keys) of every row: text name, fingerprint of the shingle set, its size, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps, n, keys = [], [], []
             for t in blobs(b.column(2)):
                 x = shingle_set(t, size)
@@ -338,11 +340,11 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     texts = sig.groupBy("said").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = persist(texts.withColumn("node", F.monotonically_increasing_id()))
     keyed = texts.select("node", "fp", "n", F.posexplode("keys").alias("band", "key")).withColumn("band", F.col("band").cast("bigint"))
-    maybe = components(bucket_links(keyed, ["key", "band"], n_pivots, WIDE, similarity))
+    maybe = components(bucket_links(keyed, ["key", "band"], n_pivots, WIDE, similarity, stars=True), stars=True)
     maybe = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct())
     members = texts.select("node", "said", "id", "n").join(maybe, "node")
     edges = _verified(df, members, id_col, text_col, size, similarity, n_pivots, hold)
-    roots = components(edges)
+    roots = components(edges, stars=True)
     return texts.select("said", "id", "node").join(roots, "node", "left").select("said", "id", F.coalesce("root", "node").alias("root"))
 
 
@@ -398,7 +400,7 @@ def _blocks(members: DataFrame, hold: int) -> DataFrame:
 
 
 def _verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, similarity: float, n_pivots: int, hold: int) -> DataFrame:
-    """Edges (u, v) between texts of a candidate group that are similar by their shingle sets, enough to connect what all such pairs connect.
+    """Star edges (u, v) between texts of a candidate group that connect what all pairs of them that are similar by their shingle sets connect.
 
     A group goes by blocks of ``hold`` shingles in order of set size; every two blocks meet in one task.
     """
@@ -422,7 +424,7 @@ def _verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, siz
             got = near_stars(fps, refs, WIDE, alike)
             return pa.record_batch([pa.array([nodes[p] for p, _ in got], pa.int64()), pa.array([nodes[q] for _, q in got], pa.int64())], ["u", "v"])
 
-        for b in batches:
+        for b in sliced(batches):
             keys = zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)
             for (*key, node), t in zip(keys, blobs(b.column(5)), strict=True):
                 if key != at:
@@ -435,7 +437,8 @@ def _verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, siz
         if len(sets) > 1:
             yield edges()
 
-    return whole.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "n", "node").mapInArrow(run, "u bigint, v bigint")
+    meeting = whole.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "n", "node")
+    return meeting.mapInArrow(lambda batches: contracted(run(batches)), "u bigint, v bigint")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

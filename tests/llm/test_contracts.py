@@ -214,6 +214,43 @@ def test_blocks_of_a_group_over_many_partitions(spark):
     assert {r["node"]: r["block"] for r in got} == want and len(got) == len(rows)
 
 
+def plans(monkeypatch, *modules):
+    """The logical plans that these modules persist from now on."""
+    seen = []
+    for m in modules:
+
+        def noted(df, put=m.persist):
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return put(df)
+
+        monkeypatch.setattr(m, "persist", noted)
+    return seen
+
+
+def test_one_worker_a_task(spark, docs, monkeypatch):
+    import re
+
+    from meshlark.llm import components as C
+
+    seen = plans(monkeypatch, C, simhash)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    simhash.similar(df)
+    simhash.near_duplicates(df)
+    assert len([p for p in seen if "MapInArrow" in p]) > 4
+    assert not [p for p in seen if re.search(r"MapInArrow[^\n]*\n(?:[^\n]*\b(?:Project|Filter)\b[^\n]*\n)*[^\n]*MapInArrow", p)]
+
+
+def test_stars_connect_what_edges_connect(spark):
+    from meshlark.llm import components as C
+
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)
+    stars = df.mapInArrow(C.contracted, "u bigint, v bigint")
+    assert all(x["u"] > x["v"] for x in stars.collect())
+    assert bag(C.components(stars, stars=True).collect()) == bag(C.components(df).collect())
+
+
 def test_keep_one(spark):
     import hashlib
 
@@ -547,6 +584,18 @@ def test_units_together_are_as_alone(docs):
         assert codec.firsts(us) == [codec.first(u) for u in us]
 
 
+def test_a_worker_remembers_units_in_bounded_memory():
+    import tracemalloc
+
+    codec = piece_codec.Codec({}, [0] * 256, [])
+    tracemalloc.start()
+    for k in range(520_000):
+        codec.remember(f"▁w{k}", (np.int32(k).tobytes() * 3, -k / 7, k / 3))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and codec.cache and codec.older
+
+
 def test_pieces_are_much_as_the_library_says(docs):
     import sentencepiece
 
