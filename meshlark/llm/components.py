@@ -90,7 +90,8 @@ def components(edges: DataFrame, max_rounds: int = 60, stars: bool = False) -> D
     e = persist(e if stars else contract(e))
     for _ in range(max_rounds):
         c = contract(e.repartition(F.col("u")).sortWithinPartitions("u", "v"))
-        up = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("z"))
+        # written out, as a join right above an aggregate can't split what the children of one large component's root read
+        up = persist(e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("z")))
         nxt = persist(c.join(up, c.v == up.w, "left").select("u", F.coalesce("z", "v").alias("v"), (F.col("changed") + F.col("z").isNotNull().cast("int")).alias("changed")))
         moved = nxt.agg(F.sum("changed")).first()[0] or 0
         e = nxt

@@ -251,6 +251,15 @@ def test_stars_connect_what_edges_connect(spark):
     assert bag(C.components(stars, stars=True).collect()) == bag(C.components(df).collect())
 
 
+def test_children_of_one_root_are_split(spark, monkeypatch):
+    from meshlark.llm import components as C
+
+    seen = plans(monkeypatch, C)
+    df = spark.range(1, 3000).selectExpr("id u", "id div 1000 v")
+    assert bag(C.components(df).collect()) == bag([(k, 0) for k in range(1, 3000)])
+    assert [p for p in seen if "Join" in p] and not [p for p in seen if "Join" in p and "Aggregate" in p]
+
+
 def test_keep_one(spark):
     import hashlib
 
